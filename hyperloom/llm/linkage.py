@@ -5,9 +5,9 @@ Three steps, shared by the line and the document near-duplicate operators:
 1. ``block_links``: rows that share a candidate key meet in one sorted run. Within the run only a spanning forest of
    the pairs that pass a cheap, lossless test leaves the task.
 2. ``connected_components``: alternating large-star and small-star rounds of joins.
-3. ``link_members``: the members of a candidate component meet with what an exact comparison needs, and links are
-   searched from one member outwards, so members already joined are not compared again. Components over a
-   size limit are split into chunks, and every pair of chunks is a task of its own; no pair is lost.
+3. ``place_members`` and ``link_members``: the members of a candidate component meet with what an exact comparison needs, and links
+   are searched from one member outwards, so members already joined are not compared again. Components over a size limit are
+   split into chunks, and every pair of chunks is a task of its own; no pair is lost.
 """
 
 from __future__ import annotations
@@ -174,27 +174,28 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
     return ends.union(ends.select(F.col("root").alias("id"), "root").distinct())
 
 
-def link_members(
-    members: DataFrame,
-    payload: list[str],
-    link: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]],
-    chunk: int = 2000,
-    label: str = "links",
-) -> DataFrame:
-    """(id, root) of members (comp, id, *payload) that ``link`` connects inside their candidate component.
+def place_members(components: DataFrame, chunk: int = 2000, label: str = "placed") -> DataFrame:
+    """(comp, i, j, id) from (id, root): the tasks that each member of a candidate component takes part in.
 
-    ``link(frame)`` returns positions of a spanning forest of the true links among the rows of ``frame``. Components of at
-    most ``chunk`` members are one call; of larger ones every pair of chunks is one.
+    Components of at most ``chunk`` members are one task, (0, 0); of larger ones every pair of chunks is one.
     """
-    sizes = members.groupBy("comp").agg(F.countDistinct("id").alias("size"))
-    large = sizes.where(F.col("size") > chunk)
-    place = Window.partitionBy("comp").orderBy("id")
-    split = members.select("comp", "id").distinct().join(large, "comp").select(
-        "id", F.floor((F.row_number().over(place) - 1) / chunk).cast("int").alias("part"), F.ceil(F.col("size") / chunk).cast("int").alias("parts")
+    members = materialize(components.select(F.col("root").alias("comp"), "id"), f"{label}-members")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("comp").orderBy("id")
+    split = members.join(sizes.where(F.col("size") > chunk), "comp").select(
+        "id", F.floor((F.row_number().over(order) - 1) / chunk).cast("int").alias("part"), F.ceil(F.col("size") / chunk).cast("int").alias("parts")
     )
     split = split.select("id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "part")
     split = split.select("id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    placed = members.join(split, "id", "left").select("comp", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "id", *payload)
+    placed = members.join(split, "id", "left").select("comp", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "id")
+    return materialize(placed, label)
+
+
+def link_members(members: DataFrame, link: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], label: str = "links") -> DataFrame:
+    """(id, root) of placed members (comp, i, j, id, and what ``link`` needs) that ``link`` connects.
+
+    ``link(frame)`` returns positions of a spanning forest of the true links among the rows of ``frame``.
+    """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
@@ -203,5 +204,5 @@ def link_members(
         a, b = forest(ids[left], ids[right])
         return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
-    edges = materialize(placed.groupBy("comp", "i", "j").applyInPandas(one, EDGE), label)
+    edges = materialize(members.groupBy("comp", "i", "j").applyInPandas(one, EDGE), label)
     return connected_components(edges, f"{label}-components")

@@ -20,10 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.linkage import block_links, connected_components, link_members, spread
+from hyperloom.llm.linkage import block_links, connected_components, link_members, place_members, spread
 from hyperloom.llm.storage import materialize
 from hyperloom.llm.textvec import SPACED, Words, blocks, grams, mix64, sequence_hash, utf8
 
@@ -173,9 +174,13 @@ class CountTree:
 
 
 def verify(frame: pd.DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the exact links among whole sets (n, tokens)."""
-    n = frame["n"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in frame["tokens"]]
+    """Spanning forest of the exact links among the whole sets of compressed texts (blob)."""
+    reader = zstandard.ZstdDecompressor()
+    sets = []
+    for blob in frame["blob"]:
+        data = np.frombuffer(reader.decompress(blob), np.uint8)
+        sets += shingle_sets(data, np.array([0, len(data)]))
+    n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
@@ -186,7 +191,7 @@ def verify(frame: pd.DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndar
         size = high - low
         at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
         shared = np.bincount(owner[at], minlength=len(n))[to]
-        return shared >= needed(n[i], n[to], num, den)
+        return (shared >= needed(n[i], n[to], num, den)) & (shared > 0)
 
     return spread(len(n), reach)
 
@@ -204,21 +209,17 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     rows = points.select(F.explode("prefix").alias("key"), F.col("doc_id").cast("long").alias("id"), "n", "counts")
     search = lambda data: CountTree(data, num, den).reach
     edges = block_links(rows, "key", "id", ["n", "counts"], load_points, near_points(num, den), search)
-    candidates = connected_components(edges, "set-candidates")
+    placed = place_members(connected_components(edges, "set-candidates"), label="set-members")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Texts travel compressed and become sets again where they meet: a hash of 8 bytes a shingle would be several times as much.
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            for i, j in blocks(offsets):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["comp", "id", "n", "tokens"],
-                )
+            blobs = [packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
-    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    members = texts.join(candidates, "id").select(F.col("root").alias("comp"), "id", "text").mapInArrow(whole, "comp long, id long, n long, tokens binary")
-    links = link_members(members.where("n > 0"), ["n", "tokens"], lambda frame: verify(frame, num, den), label="set-links")
+    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").mapInArrow(squeeze, "id long, blob binary")
+    links = link_members(placed.join(texts, "id"), lambda frame: verify(frame, num, den), label="set-links")
     roots = links.select(F.col("id").alias("rep"), "root")
     own = table.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = own.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").cast("long").alias("component_id"))

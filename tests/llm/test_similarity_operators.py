@@ -95,13 +95,14 @@ def test_tree_finds_what_the_bound_allows():
 def test_chunks_of_large_components(spark):
     """Every pair of chunks meets: a chain over more members than a chunk stays one group."""
     rows = [(0, k, k) for k in range(57)] + [(1, 100 + k, 5 * k) for k in range(9)]
-    frame = spark.createDataFrame(rows, "comp long, id long, at long")
+    frame = spark.createDataFrame(rows, "root long, id long, at long")
+    placed = linkage.place_members(frame.select("id", "root"), chunk=10).join(frame.select("id", "at"), "id")
 
     def link(pdf):
         at = pdf["at"].to_numpy()
         return linkage.spread(len(at), lambda i, to: np.abs(at[to] - at[i]) == 1)
 
-    got = {r["id"]: r["root"] for r in linkage.link_members(frame, ["at"], link, chunk=10).collect()}
+    got = {r["id"]: r["root"] for r in linkage.link_members(placed, link).collect()}
     assert got == {k: 0 for k in range(57)}
 
 
