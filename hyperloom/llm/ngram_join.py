@@ -4,9 +4,11 @@ A document's set holds its distinct 4-word shingles (64-bit hashes; words as [^\
 vector of group counts is a point. The sum over groups of the smaller coordinate bounds the overlap of two sets from above, and the sum of min(query
 coordinate, largest coordinate in a box) bounds it for a whole box, so a tree over boxes of points gives every pair that can reach the threshold.
 
-One tree over all points would need every point to meet most boxes, since count vectors of unrelated long texts look alike. So trees are built for runs of
-documents that share a shingle among their first n - ceil(0.85 n) + 1 in one fixed order (shingles that are frequent last, then by hash), which documents over
-the threshold always do. Pairs that pass the bound join candidate components; inside each, exact overlaps are verified with the whole sets.
+One tree over all points would need every point to meet most boxes, since count vectors of unrelated long texts look alike. So large sets are cut by hash into
+parts of some hundred shingles, the same way in both documents of a pair: where the whole sets overlap in a share of their sizes, one of the parts does
+too. And trees are built for runs of documents whose parts share a shingle among the first few, in one fixed order (shingles that are frequent
+last, then by hash): parts that overlap so much always do. Pairs that pass the bound join candidate components; inside each,
+exact overlaps are verified with the whole sets.
 
 Which shingles count as frequent only moves work; any choice gives the same links. Null, empty and blank texts have empty sets and link with nothing; texts of fewer
 words have one shingle of all their words. Equal sets link. Rows without an id get no component. Rows that repeat an id count as one document. Other columns
@@ -29,6 +31,8 @@ from hyperloom.llm.storage import materialize
 from hyperloom.llm.textvec import SPACED, Words, blocks, grams, mix64, sequence_hash, utf8
 
 WIDTH, NUMERATOR, DENOMINATOR, GROUPS = 4, 85, 100, 32
+#: Sets up to PART_SIZE have one part, up to four times as many shingles four, and so on.
+PART_SIZE, PART_STEP = 700, 4
 MOST_FREQUENT, FREQUENT_IN, FREQUENT_BYTES = 65_536, 16, 32 << 20
 
 
@@ -47,6 +51,18 @@ def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * (a + b) // (num + den))
 
 
+def part_counts(n: int, num: int, den: int) -> list[int]:
+    """The numbers of parts in which a set of n shingles may meet a linked one."""
+    def parts(m: int) -> int:
+        count = 1
+        while m > PART_SIZE * count:
+            count *= PART_STEP
+        return count
+
+    # A pair meets in the parts of its larger set.
+    return sorted({parts(n), parts(n * den // num)})
+
+
 def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
     """Hashes that occur at least FREQUENT_IN times in some stretch of text; the MOST_FREQUENT most frequent, sorted."""
 
@@ -75,7 +91,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, ident: str, text: str, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, counts): set size, a 128-bit name of the set, its first shingles, and its group counts."""
+    """(doc_id, n, k1, k2, parts): set size, a 128-bit name of the set, and for each part its number of parts, size, group counts and first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,28 +107,55 @@ def sketches(docs: DataFrame, ident: str, text: str, frequent: np.ndarray, num:
                     hot = frequent[at] == flat
                 else:
                     hot = np.zeros(len(flat), bool)
-                owner = np.repeat(np.arange(len(sets)), sizes)
-                group = (flat >> np.uint64(59)).astype(np.int64)
-                vectors = np.bincount(owner * GROUPS + group, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
-                take = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
-                prefix = []
-                for d in range(len(sets)):
-                    own, h = flat[first[d] : first[d + 1]], hot[first[d] : first[d + 1]]
-                    prefix.append((np.concatenate([own[~h], own[h]]) if h.any() else own)[: take[d]])
-                joined = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(joined.view(np.int64)))
+                # A row for each part of each set: owner, number of parts, members in their order.
+                owners, splits, members, lengths = [], [], [], []
+                for d, n in enumerate(sizes.tolist()):
+                    if n == 0:
+                        continue
+                    own = np.arange(first[d], first[d + 1])
+                    h = hot[own]
+                    if h.any():
+                        own = np.concatenate([own[~h], own[h]])
+                    for count in part_counts(n, num, den):
+                        if count == 1:
+                            groups = [own]
+                        else:
+                            part = (flat[own] % np.uint64(count)).astype(np.int64)
+                            groups = [own[part == k] for k in range(count)]
+                        for g in groups:
+                            owners.append(d)
+                            splits.append(count)
+                            members.append(g)
+                            lengths.append(len(g))
+                owner, split, length = (np.array(x, np.int64) for x in (owners, splits, lengths))
+                member = np.concatenate(members) if members else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(len(owner)), length)
+                vectors = np.bincount(row * GROUPS + (flat[member] >> np.uint64(59)).astype(np.int64), minlength=len(owner) * GROUPS).reshape(-1, GROUPS)
+                # Of a whole set all but ceil(share * n) can be missing in a partner; of a part, whose partner may be smaller or larger, at
+                # most (1 - share) / share of its size.
+                take = np.where(split == 1, length - -(-num * length // den), length * (den - num) // num) + 1
+                take = np.minimum(take, length)
+                start = np.cumsum(length) - length
+                chosen = member[np.arange(int(take.sum())) + np.repeat(start - (np.cumsum(take) - take), take)]
+                keys = mix64(flat[chosen] ^ np.repeat(split.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), take))
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+                parts = pa.StructArray.from_arrays([pa.array(split.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(pack_counts(vectors), pa.binary()), tokens], names=["split", "size", "counts", "tokens"])
+                per = np.bincount(owner, minlength=len(sets)) if len(owner) else np.zeros(len(sets), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), parts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array((one[first[1:]] - one[first[:-1]]).view(np.int64)), pa.array((two[first[1:]] - two[first[:-1]]).view(np.int64)), lists, pa.array(pack_counts(vectors), pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "prefix", "counts"],
+                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array((one[first[1:]] - one[first[:-1]]).view(np.int64)), pa.array((two[first[1:]] - two[first[:-1]]).view(np.int64)), lists],
+                    names=["doc_id", "n", "k1", "k2", "parts"],
                 )
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, counts binary")
+    return docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, parts array<struct<split:int,size:int,counts:binary,tokens:array<long>>>")
 
 
 def pack_counts(vectors: np.ndarray) -> list[bytes]:
     """A shift and a byte for each count, rounded up so that bounds stay bounds."""
-    most = vectors.max(axis=1, initial=0)
+    if len(vectors) == 0:
+        return []
+    most = vectors.max(axis=1)
     shift = np.maximum(0, np.ceil(np.log2(np.maximum(most, 1) / 255)).astype(np.int64))
     rounded = -(-vectors // (1 << shift)[:, None])
     return [bytes(row) for row in np.hstack([shift[:, None], rounded]).astype(np.uint8)]
@@ -121,7 +164,8 @@ def pack_counts(vectors: np.ndarray) -> list[bytes]:
 def load_points(table: pa.Table) -> dict[str, np.ndarray]:
     raw, _ = utf8(table["counts"])
     raw = raw.reshape(-1, GROUPS + 1)
-    return {"n": table["n"].combine_chunks().to_numpy(zero_copy_only=False), "c": raw[:, 1:].astype(np.int32) << raw[:, :1].astype(np.int32)}
+    numbers = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "size")}
+    return numbers | {"c": raw[:, 1:].astype(np.int32) << raw[:, :1].astype(np.int32)}
 
 
 def near_points(num: int, den: int) -> Callable:
@@ -129,14 +173,15 @@ def near_points(num: int, den: int) -> Callable:
         a, b = data["n"][i], data["n"][j]
         ok = np.minimum(a, b) * den >= np.maximum(a, b) * num
         at = np.flatnonzero(ok)
-        ok[at] = np.minimum(data["c"][i[at]], data["c"][j[at]]).sum(axis=1) >= needed(a[at], b[at], num, den)
+        overlap = np.minimum(data["c"][i[at]], data["c"][j[at]]).sum(axis=1)
+        ok[at] = overlap * (num + den) >= (data["size"][i[at]] + data["size"][j[at]]) * num
         return ok
 
     return near
 
 
 class CountTree:
-    """Packed R-tree over points of group counts and set sizes: boxes keep the largest counts and the range of sizes."""
+    """Packed R-tree over points of group counts and set sizes: boxes keep the largest counts, the smallest part and the range of set sizes."""
 
     FANOUT = 16
 
@@ -145,11 +190,11 @@ class CountTree:
         n, c = data["n"], data["c"]
         slab = np.argsort(np.argsort(n, kind="stable")) // max(1, int((len(n) * self.FANOUT) ** 0.5))
         self.order = np.lexsort((c[:, 1], c[:, 0] - c[:, 2], slab))
-        levels = [(c[self.order], n[self.order], n[self.order])]
+        levels = [(c[self.order], n[self.order], n[self.order], data["size"][self.order])]
         while len(levels[-1][0]) > self.FANOUT:
-            top, low, high = levels[-1]
+            top, low, high, size = levels[-1]
             at = np.arange(0, len(top), self.FANOUT)
-            levels.append((np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            levels.append((np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(size, at)))
         self.levels = levels
 
     def search(self, i: int) -> np.ndarray:
@@ -157,10 +202,10 @@ class CountTree:
         q, n = self.data["c"][i], self.data["n"][i]
         boxes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = (x[boxes] for x in self.levels[depth])
-            smallest = np.maximum(low, -(-n * self.num // self.den))
-            ok = (smallest <= high) & (low * self.num <= n * self.den)
-            ok[ok] = np.minimum(top[ok], q).sum(axis=1) >= needed(n, smallest[ok], self.num, self.den)
+            top, low, high, size = (x[boxes] for x in self.levels[depth])
+            ok = (low * self.num <= n * self.den) & (high * self.den >= n * self.num)
+            overlap = np.minimum(top[ok], q).sum(axis=1)
+            ok[ok] = overlap * (self.num + self.den) >= (self.data["size"][i] + size[ok]) * self.num
             boxes = boxes[ok]
             if depth:
                 boxes = (boxes[:, None] * self.FANOUT + np.arange(self.FANOUT)).ravel()
@@ -206,9 +251,10 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     copies = materialize(classes.where("copies > 1").select("k1", "k2", "n", "rep"), "set-copies")
     shadow = linkable.join(copies, ["k1", "k2", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("gone")).distinct()
     points = linkable.join(shadow, linkable["doc_id"] == shadow["gone"], "left_anti")
-    rows = points.select(F.explode("prefix").alias("key"), F.col("doc_id").cast("long").alias("id"), "n", "counts")
+    parts = points.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("parts").alias("p"))
+    rows = parts.select(F.explode("p.tokens").alias("key"), "id", "n", "p.size", "p.counts")
     search = lambda data: CountTree(data, num, den).reach
-    edges = block_links(rows, "key", "id", ["n", "counts"], load_points, near_points(num, den), search)
+    edges = block_links(rows, "key", "id", ["n", "size", "counts"], load_points, near_points(num, den), search)
     placed = place_members(connected_components(edges, "set-candidates"), label="set-members")
 
     # Texts travel compressed and become sets again where they meet: a hash of 8 bytes a shingle would be several times as much.

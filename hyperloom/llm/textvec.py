@@ -78,7 +78,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive rows [i, j) of at most ``most`` bytes together, or one longer row alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

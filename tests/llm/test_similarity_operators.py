@@ -64,8 +64,11 @@ def families():
     return texts
 
 
-def test_ngram_join_families(spark, families, monkeypatch):
+@pytest.mark.parametrize("part_size", [700, 25, 6])
+def test_ngram_join_families(spark, families, monkeypatch, part_size):
+    """Also with sets of many parts."""
     monkeypatch.setattr(ngram_join, "FREQUENT_IN", 30)
+    monkeypatch.setattr(ngram_join, "part_counts", lambda n, num, den, parts=ngram_join.part_counts: parts(n * 700 // part_size, num, den))
     frame = spark.createDataFrame(list(families.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame).collect()}
     assert got == brute_components(families)
@@ -82,9 +85,10 @@ def test_ngram_join_odd_rows(odd, none):
 
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(3)
+    assert ngram_join.part_counts(10, 85, 100) == [1] and ngram_join.part_counts(600, 85, 100) == [1, 4] and ngram_join.part_counts(3000, 85, 100) == [16]
     vectors = rng.poisson(rng.choice([2, 5, 9], (400, 1)), (400, ngram_join.GROUPS))
     vectors[200:] = np.maximum(0, vectors[:200] + rng.integers(-1, 2, (200, ngram_join.GROUPS)) * (rng.random((200, ngram_join.GROUPS)) < 0.2))
-    data = {"n": vectors.sum(axis=1), "c": vectors.astype(np.int32)}
+    data = {"n": vectors.sum(axis=1), "c": vectors.astype(np.int32), "size": vectors.sum(axis=1)}
     near = ngram_join.near_points(85, 100)
     tree = ngram_join.CountTree(data, 85, 100)
     for i in range(400):
