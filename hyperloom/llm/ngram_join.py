@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").mapInArrow(squeeze, "id long, blob binary")
-    links = link_members(placed.join(texts, "id"), lambda frame: verify(frame, num, den), label="set-links")
+    # The same join at every size: a broadcast of the members is only possible while they are few.
+    links = link_members(placed.hint("merge").join(texts, "id"), lambda frame: verify(frame, num, den), label="set-links")
     roots = links.select(F.col("id").alias("rep"), "root")
     own = table.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = own.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").cast("long").alias("component_id"))
