@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     classes = linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(classes.where("copies > 1").select("k1", "k2", "n", "rep"), "set-copies")
     shadow = linkable.join(copies, ["k1", "k2", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("gone")).distinct()
-    points = linkable.join(shadow, linkable["doc_id"] == shadow["gone"], "left_anti")
+    # The number of copies grows with the documents: the same join at every size here as well.
+    points = linkable.join(shadow.hint("merge"), linkable["doc_id"] == shadow["gone"], "left_anti")
     parts = points.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("parts").alias("p"))
     rows = parts.select(F.explode("p.tokens").alias("key"), "id", "n", "p.size", "p.counts")
     search = lambda data: CountTree(data, num, den).reach
