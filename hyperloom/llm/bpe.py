@@ -1,11 +1,14 @@
 """Byte-level BPE over a global table of distinct words.
 
-1. Texts are cut into pre-tokens block by block; a block (bounded in bytes) keeps each document's pre-tokens as positions in the
-   block's own word list.
-2. Word lists are exploded into buckets by a hash of the word and shuffled, so that a word meets itself from all blocks in
-   one task, which encodes it once.
+1. Texts are cut into pre-tokens block by block (a block is bounded in bytes and named by its content). The block's distinct words go into
+   buckets by a hash of the word and are shuffled, so that a word meets itself from all blocks in one task, which encodes it once.
+2. A second pass over the same texts keeps each document's pre-tokens as positions in its block's word list. Cutting twice costs less
+   than writing the positions to a table and then once more in the exchange that brings them together with the ids.
 3. The ids go back to their blocks and are put in place by position.
 
+Both passes have to see the same rows in the same order in each partition, as they do from files; frames that come out of a shuffle should be
+written first. Passes that differ raise an error.
+
 Decoding joins the ids with the table of token bytes. That table is as large as the vocabulary file, whatever the input, so it is
 held by each task.
 
@@ -15,8 +18,9 @@ Null texts count as empty and give no tokens. Repeated rows and ids are kept as
 from __future__ import annotations
 
 import base64
-import uuid
+import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.llm.storage import materialize
-
 BLOCK_BYTES = 24 << 20
 _loaded: dict[str, object] = {}
 
@@ -85,46 +87,71 @@ class _Numbered(dict):
         return number
 
 
-def _word_blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> DataFrame:
-    """A row per block: its documents' ids, their pre-token counts, all positions, and its distinct words by bucket."""
-
-    def close(ids: list, counts: list[int], codes: list[np.ndarray], number: _Numbered) -> pa.RecordBatch:
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(number), np.uint32)
-        rank[order] = np.arange(len(number), dtype=np.uint32)
-        words = list(number)
-        by_bucket: dict[int, list[tuple[int, bytes]]] = {}
-        for place, k in enumerate(order.tolist()):
-            raw = words[k].encode()
-            by_bucket.setdefault(zlib.crc32(raw) % buckets, []).append((place, raw))
-        rows = [
-            {"bucket": b, "places": pack(np.array([p for p, _ in w], np.uint32), np.array([len(x) for _, x in w], np.uint32)), "words": zstandard.compress(b"".join(x for _, x in w), 3)}
-            for b, w in by_bucket.items()
-        ]
-        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("words", pa.binary())]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids]), pa.array([pack(np.array(counts, np.uint32), rank[flat] if len(flat) else flat)], pa.binary()), pa.array([rows], kind)],
-            names=["block", "ids", "codes", "words"],
-        )
+def _text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of consecutive rows, in blocks of about ``block_bytes`` characters; the same for the same rows in the same order."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for ident, text in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(ident)
+            texts.append(text or "")
+            size += len(text or "")
+            if size >= block_bytes:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _block_name(ids: list, words: list[str]) -> int:
+    """A block is named by what it holds, so both passes over the texts give it one name, on whichever executor they run."""
+    digest = hashlib.blake2b(repr(ids).encode(), digest_size=8)
+    digest.update("\0".join(words).encode())
+    return int.from_bytes(digest.digest(), "little", signed=True)
+
+
+def _block_words(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> DataFrame:
+    """First pass, (block, bucket, places, words): the distinct words of each block by bucket, the most frequent in the first places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter(pattern).findall
-        ids, counts, codes, number, size = [], [], [], _Numbered(), 0
-        for batch in batches:
-            for ident, text in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = find(text) if text else []
-                ids.append(ident)
+        for ids, texts in _text_blocks(batches, block_bytes):
+            seen: Counter[str] = Counter()
+            for text in texts:
+                seen.update(find(text))
+            by_bucket: dict[int, list[tuple[int, bytes]]] = {}
+            for place, (word, _) in enumerate(seen.most_common()):
+                raw = word.encode()
+                by_bucket.setdefault(zlib.crc32(raw) % buckets, []).append((place, raw))
+            block = _block_name(ids, list(seen))
+            places = [pack(np.array([p for p, _ in w], np.uint32), np.array([len(x) for _, x in w], np.uint32)) for w in by_bucket.values()]
+            words = [zstandard.compress(b"".join(x for _, x in w), 3) for w in by_bucket.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(places), pa.int64()), pa.array(list(by_bucket), pa.int32()), pa.array(places, pa.binary()), pa.array(words, pa.binary())], names=["block", "bucket", "places", "words"]
+            )
+
+    return docs.mapInArrow(run, "block long, bucket int, places binary, words binary")
+
+
+def _block_codes(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
+    """Second pass, (block, ids, codes): each document's pre-tokens as places in its block's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = splitter(pattern).findall
+        for ids, texts in _text_blocks(batches, block_bytes):
+            number, counts, codes = _Numbered(), [], [np.zeros(0, np.uint32)]
+            for text in texts:
+                found = find(text)
                 counts.append(len(found))
                 codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                size += len(text or "")
-                if size >= block_bytes:
-                    yield close(ids, counts, codes, number)
-                    ids, counts, codes, number, size = [], [], [], _Numbered(), 0
-        if ids:
-            yield close(ids, counts, codes, number)
+            flat = np.concatenate(codes)
+            # The order of Counter.most_common: by count, ties by first occurrence.
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            place = np.empty(len(number), np.uint32)
+            place[order] = np.arange(len(number), dtype=np.uint32)
+            packed = pack(np.array(counts, np.uint32), place[flat])
+            yield pa.RecordBatch.from_arrays([pa.array([_block_name(ids, list(number))], pa.int64()), pa.array([ids], pa.list_(pa.string())), pa.array([packed], pa.binary())], names=["block", "ids", "codes"])
 
-    return docs.mapInArrow(run, "block long, ids array<string>, codes binary, words array<struct<bucket:int,places:binary,words:binary>>")
+    return docs.mapInArrow(run, "block long, ids array<string>, codes binary")
 
 
 def _encode_words(parts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -167,13 +194,13 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids): token ids of each whole text as little-endian unsigned 32-bit integers in a binary column."""
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(_word_blocks(docs.select(ident, text), pattern, buckets, block_bytes), "word-blocks")
-    parts = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.places", "w.words")
-    tokens = _encode_words(parts, ranks_path, pattern)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(ident, text)
+    tokens = _encode_words(_block_words(texts, pattern, buckets, block_bytes), ranks_path, pattern)
 
     def reassemble(own: pa.Table, words: pa.Table) -> pa.Table:
+        if words.num_rows and not own.num_rows:
+            raise RuntimeError("the two passes over the texts saw different rows: give encode() a written table")
         ids, out = [], []
         parts = [unpack(x) for x in words["tokens"].to_pylist()]
         total = sum(len(p[0]) for p in parts)
@@ -194,7 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id"
                 out.append(gather(flat, start[code], size[code]).astype("<u4").tobytes())
         return pa.table({"doc_id": pa.array(ids, pa.string()), "ids": pa.array(out, pa.binary())})
 
-    placed = blocks.select("block", "ids", "codes").groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(reassemble, "doc_id string, ids binary")
+    placed = _block_codes(texts, pattern, block_bytes).groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(reassemble, "doc_id string, ids binary")
     return placed.select(F.col("doc_id").cast(docs.schema[ident].dataType).alias("doc_id"), "ids")
 
 
