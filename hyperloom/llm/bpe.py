@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 _loaded: dict[str, object] = {}
 
 
