@@ -151,6 +151,28 @@ def sketches(docs: DataFrame, ident: str, text: str, frequent: np.ndarray, num:
     return docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, parts array<struct<split:int,size:int,counts:binary,tokens:array<long>>>")
 
 
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """The distinct rows (key, id, slot) whose key is in another distinct row too, in one pass over sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row of a batch waits for the first key of the next one.
+        held, again = None, False
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            equal = [x[1:] == x[:-1] for x in (c.to_numpy() for c in table.itercolumns())]
+            table = table.filter(pa.array(np.append(True, ~np.logical_and.reduce(equal)))).combine_chunks()
+            keys = table["key"].to_numpy()
+            same = np.concatenate([[again], keys[1:] == keys[:-1], [False]])
+            yield from table.slice(0, len(keys) - 1).filter(pa.array(same[:-2] | same[1:-1])).to_batches()
+            held, again = table.slice(len(keys) - 1).to_batches()[0], bool(same[-2])
+        if held is not None and again:
+            yield held
+
+    return rows.repartition("key").sortWithinPartitions(*rows.columns).mapInArrow(run, rows.schema)
+
+
 def pack_counts(vectors: np.ndarray) -> list[bytes]:
     """A shift and a byte for each count, rounded up so that bounds stay bounds."""
     if len(vectors) == 0:
@@ -252,8 +274,11 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     shadow = linkable.join(copies, ["k1", "k2", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("gone")).distinct()
     # The number of copies grows with the documents: the same join at every size here as well.
     points = linkable.join(shadow.hint("merge"), linkable["doc_id"] == shadow["gone"], "left_anti")
-    parts = points.select(F.col("doc_id").cast("long").alias("id"), "n", F.explode("parts").alias("p"))
-    rows = parts.select(F.explode("p.tokens").alias("key"), "id", "n", "p.size", "p.counts")
+    parts = points.select(F.col("doc_id").cast("long").alias("id"), "n", F.posexplode("parts").alias("slot", "p"))
+    # Most leading shingles are in one set only: ids alone are sorted by shingle first, and the counts follow to those that are shared.
+    shared = repeated_keys(parts.select(F.explode("p.tokens").alias("key"), "id", "slot"))
+    vectors = parts.select(F.col("id").alias("of"), F.col("slot").alias("at"), "n", "p.size", "p.counts")
+    rows = shared.join(vectors.hint("merge"), (F.col("id") == F.col("of")) & (F.col("slot") == F.col("at"))).select("key", "id", "n", "size", "counts")
     search = lambda data: CountTree(data, num, den).reach
     edges = block_links(rows, "key", "id", ["n", "size", "counts"], load_points, near_points(num, den), search)
     placed = place_members(connected_components(edges, "set-candidates"), label="set-members")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,6 +84,23 @@ def test_ngram_join_odd_rows(odd, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_repeated_keys_over_batch_ends(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(60), rng.randrange(30), rng.randrange(2)) for _ in range(150)] + [(99, k, 0) for k in range(40)] + [(100, 1, 0)] * 9
+    distinct = set(rows)
+    count = Counter(k for k, _, _ in distinct)
+    wanted = sorted(r for r in distinct if count[r[0]] > 1)
+    frame = spark.createDataFrame(rows, "key long, id long, slot int")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows_each in (1, 3, 10_000):
+            spark.conf.set(size, rows_each)
+            assert sorted(map(tuple, ngram_join.repeated_keys(frame).collect())) == wanted
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(3)
     assert ngram_join.part_counts(10, 85, 100) == [1] and ngram_join.part_counts(600, 85, 100) == [1, 4] and ngram_join.part_counts(3000, 85, 100) == [16]
