@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, SLICE_ROWS = 8 << 20, 64
 _loaded: dict[str, object] = {}
 
 
@@ -90,8 +90,9 @@ class _Numbered(dict):
 def _text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of consecutive rows, in blocks of about ``block_bytes`` characters; the same for the same rows in the same order."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        for ident, text in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    # A batch may hold many times the texts of a block: only some rows at a time become Python strings.
+    for rows in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
+        for ident, text in zip(rows.column(0).cast(pa.string()).to_pylist(), rows.column(1).to_pylist(), strict=True):
             ids.append(ident)
             texts.append(text or "")
             size += len(text or "")
