@@ -197,12 +197,40 @@ def link_members(members: DataFrame, link: Callable[[pd.DataFrame], tuple[np.nda
     ``link(frame)`` returns positions of a spanning forest of the true links among the rows of ``frame``.
     """
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", ignore_index=True)
-        left, right = link(frame)
-        ids = frame["id"].to_numpy()
-        a, b = forest(ids[left], ids[right])
-        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
-
-    edges = materialize(members.groupBy("comp", "i", "j").applyInPandas(one, EDGE), label)
+    task = ["comp", "i", "j"]
+
+    def changes(table: pa.Table) -> np.ndarray:
+        """Where in ``table`` tasks start."""
+        keys = np.stack([table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in task])
+        return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+
+    def links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        frame, found = table.to_pandas(), []
+        for low, high in zip(starts, np.append(starts[1:], len(frame)), strict=True):
+            if high - low > 1:
+                part = frame.iloc[low:high].reset_index(drop=True)
+                left, right = link(part)
+                ids = part["id"].to_numpy()
+                found.append((ids[left], ids[right]))
+        if found:
+            a, b = forest(*(np.concatenate(ends) for ends in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGE_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            starts = changes(table)
+            if len(starts) > 1:
+                # The last task may go on in the next batch.
+                yield from links(table.slice(0, starts[-1]), starts[:-1])
+            held = table.slice(starts[-1]).to_batches()
+        if held:
+            yield from links(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    # Most tasks have two or three members: a partition of them is one sorted run, cut where the task changes.
+    ordered = members.repartition(*task).sortWithinPartitions(*task, "id")
+    edges = materialize(ordered.mapInArrow(run, EDGE), label)
     return connected_components(edges, f"{label}-components")
