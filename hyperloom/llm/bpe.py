@@ -1,18 +1,18 @@
 """Byte-level BPE over a global table of distinct words.
 
-1. Texts are cut into pre-tokens block by block (a block is bounded in bytes and named by its content). The block's distinct words go into
-   buckets by a hash of the word and are shuffled, so that a word meets itself from all blocks in one task, which encodes it once.
-2. A second pass over the same texts keeps each document's pre-tokens as positions in its block's word list. Cutting twice costs less
-   than writing the positions to a table and then once more in the exchange that brings them together with the ids.
-3. The ids go back to their blocks and are put in place by position.
+1. One pass over the texts cuts them into pre-tokens, block by block (a block is bounded in bytes, a longer text is a block of its own). A block sends out
+   its pre-tokens in packed form: each document's as positions in the block's list of distinct words, and this list, split by a hash of the word. Both go
+   through one exchange, the positions by block, the words by hash, so that a word meets itself from all blocks in one task.
+2. Each distinct word is encoded once there, and its ids go back to the blocks that have it.
+3. Positions and ids of a block meet by its name, and the ids are put in place by position.
 
-Both passes have to see the same rows in the same order in each partition, as they do from files; frames that come out of a shuffle should be
-written first. Passes that differ raise an error.
+A block is named by a digest of its ids and whole texts, so equal names only occur for equal blocks, and a task that is run again gives the same names. As with
+any plan, the rows of ``docs`` have to come back in the same order when a task is run again, as they do from files.
 
 Decoding joins the ids with the table of token bytes. That table is as large as the vocabulary file, whatever the input, so it is
 held by each task.
 
-Null texts count as empty and give no tokens. Repeated rows and ids are kept as they are; other columns are ignored.
+Null texts count as empty and give no tokens. Repeated rows and ids, also null ones with different texts, are kept as they are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES, SLICE_ROWS = 8 << 20, 64
+from hyperloom.llm.storage import partitions_for
+
+BLOCK_BYTES, SLICE_ROWS, LONG_TEXT = 8 << 20, 64, 1 << 20
+#: Input bytes for each partition of the exchanges, and the most parts of a block's word list: beyond it a part holds too few words to pay for a row.
+PARTITION_BYTES, MOST_BUCKETS = 32 << 20, 8192
 _loaded: dict[str, object] = {}
 
 
@@ -88,7 +91,7 @@ class _Numbered(dict):
 
 
 def _text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of consecutive rows, in blocks of about ``block_bytes`` characters; the same for the same rows in the same order."""
+    """Ids and texts of consecutive rows, in blocks of about ``block_bytes`` characters."""
     ids, texts, size = [], [], 0
     # A batch may hold many times the texts of a block: only some rows at a time become Python strings.
     for rows in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
@@ -103,72 +106,61 @@ def _text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterato
         yield ids, texts
 
 
-def _block_name(ids: list, words: list[str]) -> int:
-    """A block is named by what it holds, so both passes over the texts give it one name, on whichever executor they run."""
+def _block_name(ids: list, texts: list[str]) -> int:
     digest = hashlib.blake2b(repr(ids).encode(), digest_size=8)
-    digest.update("\0".join(words).encode())
-    return int.from_bytes(digest.digest(), "little", signed=True)
+    for text in texts:
+        digest.update(b"%d:" % len(text))
+        digest.update(text.encode())
+    return int.from_bytes(digest.digest(), "little") >> 1
 
 
-def _block_words(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> DataFrame:
-    """First pass, (block, bucket, places, words): the distinct words of each block by bucket, the most frequent in the first places."""
+def _pretokens(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> DataFrame:
+    """(dest, block, ids, x, y), two kinds of rows. ``dest`` = block: the ids of the block's documents, and in ``x`` how many pre-tokens each has and every pre-token's
+    place in the block's words. ``dest`` < 0, one for each hash bucket: places (``x``) and bytes (``y``) of the words in it, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
-        for ids, texts in _text_blocks(batches, block_bytes):
-            seen: Counter[str] = Counter()
-            for text in texts:
-                seen.update(find(text))
-            by_bucket: dict[int, list[tuple[int, bytes]]] = {}
-            for place, (word, _) in enumerate(seen.most_common()):
-                raw = word.encode()
-                by_bucket.setdefault(zlib.crc32(raw) % buckets, []).append((place, raw))
-            block = _block_name(ids, list(seen))
-            places = [pack(np.array([p for p, _ in w], np.uint32), np.array([len(x) for _, x in w], np.uint32)) for w in by_bucket.values()]
-            words = [zstandard.compress(b"".join(x for _, x in w), 3) for w in by_bucket.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(places), pa.int64()), pa.array(list(by_bucket), pa.int32()), pa.array(places, pa.binary()), pa.array(words, pa.binary())], names=["block", "bucket", "places", "words"]
-            )
-
-    return docs.mapInArrow(run, "block long, bucket int, places binary, words binary")
-
-
-def _block_codes(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Second pass, (block, ids, codes): each document's pre-tokens as places in its block's words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
+        cut = splitter(pattern)
         for ids, texts in _text_blocks(batches, block_bytes):
             number, counts, codes = _Numbered(), [], [np.zeros(0, np.uint32)]
             for text in texts:
-                found = find(text)
-                counts.append(len(found))
-                codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                # The matches of a long text are never held as strings all at once.
+                found = cut.findall(text) if len(text) < LONG_TEXT else (m.group() for m in cut.finditer(text))
+                codes.append(np.fromiter(map(number.__getitem__, found), np.uint32))
+                counts.append(len(codes[-1]))
             flat = np.concatenate(codes)
-            # The order of Counter.most_common: by count, ties by first occurrence.
             order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
             place = np.empty(len(number), np.uint32)
             place[order] = np.arange(len(number), dtype=np.uint32)
-            packed = pack(np.array(counts, np.uint32), place[flat])
-            yield pa.RecordBatch.from_arrays([pa.array([_block_name(ids, list(number))], pa.int64()), pa.array([ids], pa.list_(pa.string())), pa.array([packed], pa.binary())], names=["block", "ids", "codes"])
+            name = _block_name(ids, texts)
+            yield _exchange_row([name], [name], [ids], [pack(np.array(counts, np.uint32), place[flat])], [None])
+            words = [w.encode() for w in number]
+            by_bucket: dict[int, list[int]] = {}
+            for k in order.tolist():
+                by_bucket.setdefault(zlib.crc32(words[k]) % buckets, []).append(k)
+            places = [pack(place[w], np.fromiter((len(words[k]) for k in w), np.uint32, len(w))) for w in by_bucket.values()]
+            held = [zstandard.compress(b"".join(words[k] for k in w), 3) for w in by_bucket.values()]
+            yield _exchange_row([-1 - b for b in by_bucket], [name] * len(held), [None] * len(held), places, held)
+
+    return docs.mapInArrow(run, "dest long, block long, ids array<string>, x binary, y binary")
 
-    return docs.mapInArrow(run, "block long, ids array<string>, codes binary")
 
+def _exchange_row(dest: list, block: list, ids: list, x: list, y: list) -> pa.RecordBatch:
+    columns = [pa.array(dest, pa.int64()), pa.array(block, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(x, pa.binary()), pa.array(y, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["dest", "block", "ids", "x", "y"])
 
-def _encode_words(parts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(block, bucket, places, words) -> (block, ids): each distinct word of a bucket is encoded once."""
+
+def _encode_words(exchanged: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(dest, tokens) from the word rows: each distinct word is encoded once, and the ids go to the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode_ordinary
         known: dict[bytes, list[int]] = {}
-        bucket = None
         for batch in batches:
-            blocks, out = [], []
-            for block, b, places, words in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if b != bucket:
-                    known, bucket = {}, b
-                at, lengths = unpack(places)
-                raw = zstandard.decompress(words)
+            batch = batch.filter(pa.array(batch.column(0).to_numpy() < 0))
+            out = []
+            for places, words in zip(batch.column(3), batch.column(4), strict=True):
+                at, lengths = unpack(places.as_py())
+                raw = zstandard.decompress(words.as_py())
                 got, start = [], 0
                 for n in lengths.tolist():
                     word = raw[start : start + n]
@@ -179,11 +171,9 @@ def _encode_words(parts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     got.append(ids)
                 sizes = np.fromiter(map(len, got), np.uint32, len(got))
                 out.append(pack(at, sizes, np.fromiter((t for ids in got for t in ids), np.uint32, int(sizes.sum()))))
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["block", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["dest", "tokens"])
 
-    ordered = parts.repartition("bucket").sortWithinPartitions("bucket")
-    return ordered.select("block", "bucket", "places", "words").mapInArrow(run, "block long, tokens binary")
+    return exchanged.mapInArrow(run, "dest long, tokens binary")
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,34 +185,36 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids): token ids of each whole text as little-endian unsigned 32-bit integers in a binary column."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(ident, text)
-    tokens = _encode_words(_block_words(texts, pattern, buckets, block_bytes), ranks_path, pattern)
+    count = partitions_for(docs, PARTITION_BYTES)
+    # Both uses below are one exchange, which Spark runs once and reads twice; a filter between them would make two of it.
+    exchanged = _pretokens(docs.select(ident, text), pattern, min(count, MOST_BUCKETS), block_bytes).repartition(count, "dest")
+    tokens = _encode_words(exchanged, ranks_path, pattern).repartition(count, "dest")
 
     def reassemble(own: pa.Table, words: pa.Table) -> pa.Table:
-        if words.num_rows and not own.num_rows:
-            raise RuntimeError("the two passes over the texts saw different rows: give encode() a written table")
         ids, out = [], []
-        parts = [unpack(x) for x in words["tokens"].to_pylist()]
-        total = sum(len(p[0]) for p in parts)
-        start, size = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        at = 0
-        for place, sizes, flat in parts:
-            size[place] = sizes
-            start[place] = at + np.cumsum(sizes, dtype=np.int64) - sizes
-            at += len(flat)
-        flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
-        for names, blob in zip(own["ids"].to_pylist(), own["codes"].to_pylist(), strict=True):
-            counts, codes = unpack(blob)
-            done = 0
-            for name, n in zip(names, counts.tolist(), strict=True):
-                code = codes[done : done + n]
-                done += n
-                ids.append(name)
-                out.append(gather(flat, start[code], size[code]).astype("<u4").tobytes())
+        if own.num_rows and own["dest"][0].as_py() >= 0:
+            parts = [unpack(x.as_py()) for x in words["tokens"]]
+            total = max((int(p[0].max(initial=0)) + 1 for p in parts), default=0)
+            start, size = np.full(total, -1, np.int64), np.zeros(total, np.int64)
+            at = 0
+            for place, sizes, _ in parts:
+                size[place] = sizes
+                start[place] = at + np.cumsum(sizes, dtype=np.int64) - sizes
+                at += int(sizes.sum())
+            flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
+            for names, blob in zip(own["ids"].to_pylist(), own["x"], strict=True):
+                counts, codes = unpack(blob.as_py())
+                if len(codes) and (int(codes.max()) >= total or (start[codes] < 0).any()):
+                    raise RuntimeError("a word of a block came back without ids")
+                done = 0
+                for name, n in zip(names, counts.tolist(), strict=True):
+                    code = codes[done : done + n]
+                    done += n
+                    ids.append(name)
+                    out.append(gather(flat, start[code], size[code]).astype("<u4").tobytes())
         return pa.table({"doc_id": pa.array(ids, pa.string()), "ids": pa.array(out, pa.binary())})
 
-    placed = _block_codes(texts, pattern, block_bytes).groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(reassemble, "doc_id string, ids binary")
+    placed = exchanged.groupBy("dest").cogroup(tokens.groupBy("dest")).applyInArrow(reassemble, "doc_id string, ids binary")
     return placed.select(F.col("doc_id").cast(docs.schema[ident].dataType).alias("doc_id"), "ids")
 
 
