@@ -15,6 +15,7 @@ no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,33 +43,43 @@ class Capacity:
 
 
 def _vocabulary(path: str, pattern: str):
-    """Encoder for a byte-level BPE vocabulary in the tokenizers format: ids are ranks, merges follow their order."""
+    """Encoder for a byte-level BPE vocabulary in the tokenizers format: ids are ranks, merges follow their order; its added tokens are whole."""
     if path not in _loaded:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
         # The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, others follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and not token.startswith("<|")}
-        _loaded[path] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        added = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        ranks = {bytes(back[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in added}
+        _loaded[path] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
     return _loaded[path]
 
 
-def token_ids(text: str, path: str, pattern: str) -> np.ndarray:
-    """Ids as the tokenizers library gives them without special tokens (whose strings are ordinary text)."""
+def token_ids(text: str, path: str, pattern: str, specials: bool = True) -> np.ndarray:
+    """Ids as the tokenizers library gives them with add_special_tokens=False: none are added, but the string of an added token in a text is that token
+    (ordinary text if not ``specials``, as with the library's encode_special_tokens)."""
     coder = _vocabulary(path, pattern)
+    allowed = coder.special_tokens_set if specials else set()
     try:
-        return coder.encode_to_numpy(text, disallowed_special=())
+        return coder.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
     except BaseException as error:
-        if type(error).__name__ != "PanicException":
+        if type(error).__name__ != "PanicException" and "stack size" not in str(error):
             raise
-        single = coder._encode_single_piece
-        return np.array([i for piece in splitter(pattern).findall(text) for i in single(piece.encode())], np.uint32)
+    # White space too long for the encoder's own matching: match by match, between the added tokens.
+    names = "|".join(re.escape(t) for t in sorted(allowed, key=len, reverse=True))
+    ids = []
+    for part in re.split(f"({names})", text) if names else [text]:
+        if part in allowed:
+            ids.append(coder.encode_single_token(part))
+        else:
+            ids += [i for piece in splitter(pattern).findall(part) for i in coder._encode_single_piece(piece.encode())]
+    return np.array(ids, np.uint32)
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, size: int = 2048, end_id: int = 0, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, size: int = 2048, end_id: int = 0, ident: str = "doc_id", text: str = "text", specials: bool = True) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32): ``row`` tells repeated rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +87,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, size: int = 2048, end
         for batch in batches:
             take, piece, start, length, crc = [], [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                ids = np.concatenate([token_ids(t, vocabulary, pattern), end]) if t else end
+                ids = np.concatenate([token_ids(t, vocabulary, pattern, specials), end]) if t else end
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) > size else [0, len(ids)]
                 for n, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
