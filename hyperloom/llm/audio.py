@@ -2,9 +2,10 @@
 
 Media are RIFF/WAVE files in a binary column. Expansion tables hold one 16-bit value for each of the 256 codes. ADPCM blocks all start
 with their own state, so one step decodes the next nibble of every block of a batch at once. Decoded samples are 16-bit PCM, resampled
-linearly to the target rate.
+linearly to the target rate and stored, losslessly, as the even samples and what the odd ones differ from the mean of their neighbours. Features are computed from
+the stored PCM as it is read back.
 
-Null texts or media count as empty; an empty payload is padded to one unit; equal payloads give equal files and features. An
+A row holds a whole file, 8 bytes of PCM for a byte of ADPCM. Null texts or media count as empty; an empty payload is padded to one unit; equal payloads give equal files and features. An
 empty table gives an empty result, and other columns are ignored.
 """
 
@@ -17,12 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from hyperloom.llm.storage import materialize
 from hyperloom.llm.textvec import blocks
 
 RATE, TARGET_RATE, UNIT = 8000, 16000, 192
+#: Level and page size of compression of stored media and PCM, the bulk of what this operator writes.
+LEVEL, PAGE_BYTES = 9, 8 << 20
 #: WAVE format tags (fixed values of the RIFF registry).
 TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 NAMES = {tag: name for name, tag in TAGS.items()}
@@ -144,7 +148,7 @@ def store_text_media(docs: DataFrame, ident: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raws], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return materialize(docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary"), "media")
+    return materialize(docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary"), "media", LEVEL, PAGE_BYTES)
 
 
 def decode_batch(media: list[bytes]) -> tuple[list[str], list[bytes], list[np.ndarray]]:
@@ -166,54 +170,88 @@ def decode_batch(media: list[bytes]) -> tuple[list[str], list[bytes], list[np.nd
     return [x[0] for x in parsed], [x[1] for x in parsed], pcm
 
 
-def decode_media(media: DataFrame, ident: str = "doc_id", column: str = "media", keep_pcm: bool = True) -> DataFrame:
-    """(id, codec, payload, pcm, feature): codec bytes, resampled 16-bit PCM (null unless ``keep_pcm``) and a summary of the samples."""
+def predicted(even: np.ndarray, count: int) -> np.ndarray:
+    """What linear interpolation between the even samples gives for ``count`` odd ones."""
+    wide = even.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:])) >> 1)[:count].astype(np.int16)
+
+
+def pack_pcm(samples: np.ndarray) -> bytes:
+    """The even samples, then the odd ones less their prediction (modulo 2^16), as little-endian 16-bit integers."""
+    even, odd = samples[0::2], samples[1::2]
+    return np.concatenate([even, odd - predicted(even, len(odd))]).astype("<i2").tobytes()
+
+
+def unpack_pcm(raw: bytes) -> np.ndarray:
+    stored = np.frombuffer(raw, "<i2")
+    out = np.empty(len(stored), np.int16)
+    even = stored[: -(-len(stored) // 2)]
+    out[0::2], out[1::2] = even, stored[len(even) :] + predicted(even, len(stored) // 2)
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about a megabyte in a binary column."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    for i, j in blocks(sizes):
+        yield batch.slice(i, j - i)
+
+
+def decode_media(media: DataFrame, ident: str = "doc_id", column: str = "media") -> DataFrame:
+    """(id, codec, payload, pcm): codec bytes and resampled 16-bit PCM of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.concatenate([[0], np.cumsum([len(x or b"") for x in batch.column(1).to_pylist()])]).astype(np.int64)
-            for i, j in blocks(sizes):
-                part = batch.slice(i, j - i)
-                files = [x if x else wave("mulaw", b"") for x in part.column(1).to_pylist()]
-                codecs, payloads, pcm = decode_batch(files)
-                wide = [resample(x) for x in pcm]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(codecs), pa.array(payloads, pa.binary()), pa.array([x.astype("<i2").tobytes() if keep_pcm else None for x in wide], pa.binary()),
-                     pa.array([summary(c, x, w) for c, x, w in zip(codecs, pcm, wide, strict=True)])],
-                    names=["doc_id", "codec", "payload", "pcm", "feature"],
-                )
+            for part in slices(batch, 1):
+                codecs, payloads, pcm = decode_batch([x if x else wave("mulaw", b"") for x in part.column(1).to_pylist()])
+                wide = [resample(x).astype("<i2").tobytes() for x in pcm]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codecs), pa.array(payloads, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "codec", "payload", "pcm"])
 
     kind = media.schema[ident].dataType.simpleString()
-    return media.select(ident, column).mapInArrow(run, f"doc_id {kind}, codec string, payload binary, pcm binary, feature string")
+    return media.select(ident, column).mapInArrow(run, f"doc_id {kind}, codec string, payload binary, pcm binary")
 
 
-def summary(codec: str, pcm: np.ndarray, wide: np.ndarray) -> str:
-    """Codec, samples, peak, mean square, zero crossings, and the CRC of the resampled PCM; integers only."""
-    x = pcm.astype(np.int64)
-    square = int((x * x).sum() // max(1, len(x)))
-    peak = int(np.abs(x).max(initial=0))
-    cross = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"{codec}|n={len(x)}|peak={peak}|ms={square}|zc={cross}|rate={TARGET_RATE}|pcm={zlib.crc32(wide.astype('<i2').tobytes()):08x}"
-
-
-def media_digests(media: DataFrame) -> DataFrame:
-    """The digest columns of op4 from stored media (doc_id, n_bytes, media), in one pass over the stored bytes."""
+def store_pcm(media: DataFrame) -> DataFrame:
+    """Stored media (doc_id, n_bytes, media) read back, decoded, resampled, and the PCM (``pack_pcm``) written to the shared folder beside digests of what was read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in batch.column(2).to_pylist()])]).astype(np.int64)
-            for i, j in blocks(sizes):
-                part = batch.slice(i, j - i)
+            for part in slices(batch, 2):
                 files = part.column(2).to_pylist()
                 codecs, payloads, pcm = decode_batch(files)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(x) for x in payloads], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads]),
                      pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), pa.array([len(x) for x in files], pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in files]), pa.array([summary(c, x, resample(x)) for c, x in zip(codecs, pcm, strict=True)])],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                     pa.array([hashlib.sha256(x).hexdigest() for x in files]), pa.array(codecs), pa.array([pack_pcm(resample(x)) for x in pcm], pa.binary())],
+                    names=[*DIGESTS, "codec", "pcm"],
                 )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, {DIGEST_TYPES}, codec string, pcm binary"), "pcm", LEVEL, PAGE_BYTES)
+
+
+def summary(codec: str, pcm: np.ndarray) -> str:
+    """Codec, samples, peak, mean square, zero crossings and CRC of resampled PCM; integers only."""
+    x = pcm.astype(np.int32)
+    # Squares of 16-bit samples, summed in 64 bits.
+    square = int(np.einsum("i,i->", x, x, dtype=np.int64)) // max(1, len(x))
+    peak = int(np.abs(x).max(initial=0))
+    cross = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"{codec}|rate={TARGET_RATE}|n={len(x)}|peak={peak}|ms={square}|zc={cross}|pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+
+
+DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+DIGEST_TYPES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def media_digests(stored: DataFrame) -> DataFrame:
+    """The columns of op4 from stored PCM (``store_pcm``), whose samples are read back for the feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 8):
+                features = [summary(c, unpack_pcm(x.as_py())) for c, x in zip(part.column(7).to_pylist(), part.column(8), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(features, pa.string())], names=[*DIGESTS, "feature"])
+
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.select(*DIGESTS, "codec", "pcm").mapInArrow(run, f"doc_id {kind}, {DIGEST_TYPES}, feature string")

@@ -30,7 +30,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_digests(audio.store_text_media(_table(spark, sf_dir, "documents")))
+    return audio.media_digests(audio.store_pcm(audio.store_text_media(_table(spark, sf_dir, "documents"))))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

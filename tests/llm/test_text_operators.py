@@ -65,7 +65,6 @@ def test_quality_counts_of_odd_rows(odd, none):
 
 def check_packing(rows, texts, size=2048):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, bins = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r["doc_id"]].append(r)
@@ -116,31 +115,83 @@ def test_best_fit_respects_every_capacity(rule):
         assert sorted(offsets[bins == b].tolist()) == (np.cumsum(own[np.argsort(offsets[bins == b])]) - own[np.argsort(offsets[bins == b])]).tolist()
 
 
-def test_special_strings_are_ordinary_text():
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_special_strings_as_in_the_library(ordinary):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    for text in ("a <|endoftext|> b", "naïve 漢字 😀\n\n  x", "don't  stop"):
-        assert packing.token_ids(text, P.path("byte_bpe_50k.json"), P.PATTERN).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer.encode_special_tokens = ordinary
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "a  <|endoftext|>\n\n b <|endoftext|", "naïve 漢字 😀\n\n  x", "don't  stop"):
+        assert packing.token_ids(text, P.path("byte_bpe_50k.json"), P.PATTERN, not ordinary).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    blank = "a" + " " * 1_200_000 + "b<|endoftext|>" + " " * 1_200_000 + "c"
+    assert packing.token_ids(blank, P.path("byte_bpe_50k.json"), P.PATTERN, not ordinary).tolist() == tokenizer.encode(blank, add_special_tokens=False).ids
+
+
+def plain_pcm(codec, payload):
+    """Decoded and resampled sample by sample."""
+    if codec == "ima_adpcm":
+        samples = [x for i in range(0, len(payload), 192) for x in plain_adpcm(payload[i : i + 192])]
+    else:
+        samples = [plain_g711(codec, code) for code in payload]
+    wide = []
+    for k, x in enumerate(samples):
+        after = samples[k + 1] if k + 1 < len(samples) else x
+        wide += [x, (x + after) // 2]
+    return wide
+
+
+def plain_g711(codec, code):
+    """One code by the segments of the standard."""
+    if codec == "mulaw":
+        code ^= 0xFF
+        size = (((code & 15) * 2 + 33) << ((code >> 4) & 7)) - 33
+        return (-1 if code & 0x80 else 1) * size * 4
+    code ^= 0x55
+    segment, step = (code >> 4) & 7, code & 15
+    size = step * 2 + 1 if segment == 0 else (step * 2 + 33) << (segment - 1)
+    return (1 if code & 0x80 else -1) * size * 8
 
 
 def test_audio_query(spark, texts):
+    seen = Counter()
     for r in queries.op4_telephony_audio(spark, SF).collect():
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        media = audio.wave(audio.choose_codec(payload), payload)
+        codec, rate, *_ = r["feature"].split("|")
+        assert codec == ("mulaw", "alaw", "ima_adpcm")[zlib.crc32(payload) % 3] and rate == "rate=16000"
+        body = payload
+        head = {"mulaw": struct.pack("<HHIIHHH", 7, 1, 8000, 8000, 1, 8, 0), "alaw": struct.pack("<HHIIHHH", 6, 1, 8000, 8000, 1, 8, 0), "ima_adpcm": struct.pack("<HHIIHHHH", 17, 1, 8000, 8000 * 192 // 377, 192, 4, 2, 377)}[codec]
+        frames = len(body) // 192 * 377 if codec == "ima_adpcm" else len(body)
+        chunks = b"WAVE" + b"fmt " + struct.pack("<I", len(head)) + head + b"fact" + struct.pack("<II", 4, frames) + b"data" + struct.pack("<I", len(body)) + body
+        media = b"RIFF" + struct.pack("<I", len(chunks)) + chunks
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        seen[codec] += 1
+        if seen[codec] <= 25:
+            pcm = plain_pcm(codec, payload)
+            square, cross = sum(x * x for x in pcm) // len(pcm), sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+            crc = zlib.crc32(struct.pack(f"<{len(pcm)}h", *pcm))
+            assert r["feature"] == f"{codec}|rate=16000|n={len(pcm)}|peak={max(map(abs, pcm))}|ms={square}|zc={cross}|pcm={crc:08x}"
+    assert min(seen.values()) > 100
 
 
 def test_audio_odd_rows(odd, none):
-    rows = audio.media_digests(audio.store_text_media(odd)).collect()
+    rows = audio.media_digests(audio.store_pcm(audio.store_text_media(odd))).collect()
     assert len(rows) == 11 and {r["payload_bytes"] for r in rows if r["doc_id"] in (3, 4)} == {192}
     assert len({tuple(r) for r in rows if r["doc_id"] == 7}) == 1
-    assert audio.media_digests(audio.store_text_media(none)).count() == 0
+    assert audio.media_digests(audio.store_pcm(audio.store_text_media(none))).count() == 0
     decoded = audio.decode_media(audio.store_text_media(odd)).collect()
     assert all(len(r["pcm"]) > 0 and len(r["payload"]) % 192 == 0 for r in decoded)
 
 
+def test_pcm_is_stored_losslessly():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 2, 3, 4, 1001):
+        samples = rng.integers(-32768, 32768, size).astype(np.int16)
+        assert np.array_equal(audio.unpack_pcm(audio.pack_pcm(samples)), samples)
+        wide = audio.resample(samples)
+        stored = audio.pack_pcm(wide)
+        assert np.array_equal(audio.unpack_pcm(stored), wide) and not any(stored[2 * size :])
+
+
 def test_g711_tables_at_known_points():
     mu, a = audio.TABLES["mulaw"], audio.TABLES["alaw"]
     assert (mu[0xFF], mu[0x7F], mu[0x00], mu[0x80]) == (0, 0, -32124, 32124)
@@ -203,6 +254,27 @@ def test_bpe_odd_rows_and_small_blocks(odd, none):
     assert bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_repeated_and_null_ids(spark):
+    """Rows that share an id, or have none, in several partitions, with equal words in the same first order but different texts."""
+    texts = ["alpha beta", "alpha beta beta", "alpha beta", "alpha", "alpha beta beta alpha"]
+    rows = [(i, t) for i in (1, 2, None) for t in texts]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    coder = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    wanted = sorted((str(i), coder.encode_ordinary(t)) for i, t in rows)
+    for size in (1, 12, 1 << 20):
+        got = bpe.encode(frame, RANKS, P.PATTERN, block_bytes=size).collect()
+        assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == wanted
+
+
+def test_bpe_long_text_is_cut_like_a_short_one(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_TEXT", 20)
+    frame = spark.createDataFrame([(1, "one two  three \n four " * 40)], "doc_id long, text string")
+    coder = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    batch = next(iter(frame.toArrow().to_batches()))
+    assert [b[1] for b in bpe._text_blocks([batch], 10)] == [["one two  three \n four " * 40]]
+    assert np.frombuffer(bpe.encode(frame, RANKS, P.PATTERN).first()["ids"], "<u4").tolist() == coder.encode_ordinary("one two  three \n four " * 40)
+
+
 def test_bpe_endless_white_space(spark):
     text = "a" + " " * 1_200_000 + "b"
     row = bpe.decode(bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, P.PATTERN), RANKS).first()
