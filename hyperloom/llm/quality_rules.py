@@ -31,19 +31,24 @@ RULES = {
     "variety": ("n_distinct_words * 10 >= n_words * 3", "n_distinct_words * 10 <= n_words * 2 AND n_words <= 2000"),
 }
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-#: Start of the estimation: how often a rule votes (good, bad) in either class.
-START = {"good": (0.8, 0.004), "bad": (0.65, 0.25)}
+#: Start of the estimation: how often a rule votes (good, bad), in either class. Rules about marks hardly ever vote bad on good texts; those about
+#: the shape of lines do now and then.
+_MARKS, _WORDS, _LINES = ((0.8, 0.004), (0.6, 0.3)), ((0.8, 0.004), (0.65, 0.25)), ((0.7, 0.01), (0.6, 0.2))
+START = {
+    "symbols": _MARKS, "bare_symbols": _MARKS, "decorations": _MARKS, "word_length": _WORDS, "repetition": _WORDS, "duplicate_lines": _LINES, "capitals": _WORDS,
+    "exclamation": _WORDS, "line_ends": _LINES, "variety": _WORDS,
+}
 START_PRIOR, ROUNDS, SMOOTHING, KEEP_FROM = 0.85, 10, 1.0, 0.5
-#: The start also is the estimates' prior, with this weight against the counts: bad texts come in several kinds, of which each breaks few rules, and
-#: without it the estimates may take one kind for the whole bad class.
-PRIOR_WEIGHT = 1.0
+#: The start also counts as so many texts of either class beside those seen: bad texts come in several kinds, of which each breaks few rules, and without it the
+#: estimates of a small table may take one kind for the whole bad class. It loses weight as texts grow in number.
+PRIOR_TEXTS = 50
 
 
 def metrics(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of each whole text that the rules look at; no shuffle.
 
     Repeated three-word windows are found by sorting, per text, one long per window: a hash above, the position in
-    the low bits (as many as the number of words needs).
+    the low bits (as many as the number of words needs). Those that share a hash are then compared as words.
     """
     word = r"[^\\x20\\x09-\\x0D]"
     step = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -60,7 +65,15 @@ def metrics(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     step = step.selectExpr(
         "doc_id", "t", "words", "lines", "joined", "n", "shiftleft(1L, b) - 1 AS low",
         """filter(windows, (x, i) -> (i > 0 AND shiftright(x, b) = shiftright(windows[i - 1], b))
-             OR (i < size(windows) - 1 AND shiftright(x, b) = shiftright(windows[i + 1], b))) AS again""",
+             OR (i < size(windows) - 1 AND shiftright(x, b) = shiftright(windows[i + 1], b))) AS hits""",
+    )
+    step = step.selectExpr(
+        "doc_id", "t", "words", "lines", "joined", "n",
+        "sort_array(transform(hits, x -> struct(concat_ws(' ', slice(words, CAST(x & low AS INT) + 1, 3)) AS w, x & low AS i))) AS same",
+    )
+    step = step.selectExpr(
+        "doc_id", "t", "words", "lines", "joined", "n",
+        "filter(same, (x, k) -> (k > 0 AND x.w = same[k - 1].w) OR (k < size(same) - 1 AND x.w = same[k + 1].w)).i AS again",
     )
     return step.selectExpr(
         "doc_id",
@@ -68,7 +81,7 @@ def metrics(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
         "CAST(length(joined) AS BIGINT) AS word_chars",
         "CAST(length(joined) - length(translate(joined, '#*$%&|<>', '')) AS BIGINT) AS n_symbols",
         "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines",
-        "CAST(size(array_distinct(flatten(transform(again, x -> array(x & low, (x & low) + 1, (x & low) + 2))))) AS BIGINT) AS n_repeat_words",
+        "CAST(size(array_distinct(flatten(transform(again, x -> array(x, x + 1, x + 2))))) AS BIGINT) AS n_repeat_words",
         "CAST(size(lines) AS BIGINT) AS n_lines",
         "CAST(regexp_count(t, '[A-ZÀ-ÖØ-Þ]{3,}') AS BIGINT) AS n_capital_runs",
         "CAST((length(t) - length(replace(t, '!!', ''))) / 2 AS BIGINT) AS n_bangs",
@@ -106,7 +119,8 @@ class VoteModel:
 
 def fit(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over (rules..., n). Only sums leave Spark: a few numbers for each rule."""
-    model = VoteModel(START_PRIOR, {r: (START["good"], START["bad"]) for r in rules})
+    start = {r: START.get(r, _WORDS) for r in rules}
+    model = VoteModel(START_PRIOR, start)
     for _ in range(rounds):
         weighted = patterns.withColumn("q", model.probability())
         sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("q")).alias("good")]
@@ -120,10 +134,10 @@ def fit(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> VoteMode
         if not s["all"]:
             return model
         good, bad = s["good"], s["all"] - s["good"]
-        rate = lambda hits, total, prior: ((hits + SMOOTHING) / (total + 3 * SMOOTHING) + PRIOR_WEIGHT * prior) / (1 + PRIOR_WEIGHT)
+        rate = lambda hits, total, prior: (hits + PRIOR_TEXTS * prior) / (total + PRIOR_TEXTS)
         model = VoteModel(
             (good + SMOOTHING) / (s["all"] + 2 * SMOOTHING),
-            {r: tuple((rate(s[f"{r}_up_{c}"], t, START[c][0]), rate(s[f"{r}_down_{c}"], t, START[c][1])) for c, t in (("good", good), ("bad", bad))) for r in rules},
+            {r: tuple((rate(s[f"{r}_up_{c}"], t, start[r][k][0]), rate(s[f"{r}_down_{c}"], t, start[r][k][1])) for k, (c, t) in enumerate((("good", good), ("bad", bad)))) for r in rules},
         )
     return model
 
@@ -162,17 +176,17 @@ def oracle() -> str:
         "v AS (SELECT *, " + ", ".join(f"{vote(*RULES[r])} AS {r}" for r in rules) + " FROM m)",
         f"pat AS (SELECT {', '.join(rules)}, count(*)::DOUBLE AS n FROM v WHERE NOT ({BASE_FAILED}) GROUP BY ALL)",
     ]
-    gp, gn = START["good"]
-    bp, bn = START["bad"]
-    first = ", ".join(f"{gp}::DOUBLE AS {r}_ug, {gn}::DOUBLE AS {r}_dg, {bp}::DOUBLE AS {r}_ub, {bn}::DOUBLE AS {r}_db" for r in rules)
+    names = [(r, k, v, f"{r}_{'ud'[v]}{'gb'[k]}") for r in rules for v in (0, 1) for k in (0, 1)]
+    first = ", ".join(f"{START[r][k][v]}::DOUBLE AS {name}" for r, k, v, name in names)
     parts.append(f"p0 AS (SELECT {START_PRIOR}::DOUBLE AS prior, {first})")
     odds = "ln(prior) - ln(1 - prior) + " + " + ".join(
         f"ln(CASE {r} WHEN 1 THEN {r}_ug / {r}_ub WHEN -1 THEN {r}_dg / {r}_db ELSE (1 - {r}_ug - {r}_dg) / (1 - {r}_ub - {r}_db) END)" for r in rules
     )
     for k in range(ROUNDS):
         parts.append(f"q{k} AS (SELECT {', '.join(rules)}, n, 1 / (1 + exp(-({odds}))) AS q FROM pat, p{k})")
-        rate = lambda r, v, w, t: f"((sum(CASE WHEN {r} = {v} THEN n * {w} ELSE 0 END) + {SMOOTHING}) / (sum(n * {w}) + {3 * SMOOTHING}) + {PRIOR_WEIGHT * START['good' if t[-1] == 'g' else 'bad'][t[-2] == 'd']}) / {1 + PRIOR_WEIGHT} AS {t}"
-        cells = ", ".join(rate(r, v, w, f"{r}_{a}{b}") for r in rules for v, a in ((1, "u"), (-1, "d")) for w, b in (("q", "g"), ("(1 - q)", "b")))
+        cells = ", ".join(
+            f"(sum(CASE WHEN {r} = {(1, -1)[v]} THEN n * {('q', '(1 - q)')[c]} ELSE 0 END) + {PRIOR_TEXTS * START[r][c][v]}) / (sum(n * {('q', '(1 - q)')[c]}) + {PRIOR_TEXTS}) AS {name}" for r, c, v, name in names
+        )
         parts.append(f"p{k + 1} AS (SELECT (sum(n * q) + {SMOOTHING}) / (sum(n) + {2 * SMOOTHING}) AS prior, {cells} FROM q{k})")
     parts.append(f"s AS (SELECT v.*, 1 / (1 + exp(-({odds}))) AS q, ({BASE_FAILED}) AS base_failed FROM v, p{ROUNDS})")
     return (
