@@ -71,7 +71,7 @@ def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP8_SQL = r"""
 WITH captures AS (
-  SELECT row_number() OVER () AS capture, page_id, nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+  SELECT row_number() OVER () AS capture, page_id, nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '') AS host,
          TIMESTAMP '2000-01-01 00:00:00' + to_minutes(page_id % 10000000) AS fetched FROM pages),
 hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 4))::INT AS h, string_split(host, '.') AS p FROM captures WHERE host IS NOT NULL),
 entries AS (SELECT array_to_string(p[greatest(1, len(p) - 2):], '.') AS entry, h FROM hosts),
@@ -103,8 +103,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP6_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, url FROM pages),
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper != page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN keeper != page_id THEN keeper END AS refers_to FROM k
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS DISTINCT FROM page_id AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to FROM k
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,9 +5,9 @@ fields in version 1, 10 in version 2). Each record is a header line, the declare
 The converter reads records by these declared lengths and writes WARC/1.0 records with synthesised ids, timestamps, types and digests. A record
 whose payload another record already carries in full becomes a revisit with the response's id.
 
-Archives are values of a binary column: segments of some megabytes, each a valid sequence of gzip members. Null html counts as empty. Rows
-with equal payloads refer to the row with the largest page id; a page id that repeats with the same payload gives one response (of the smallest
-url) and revisits. Other columns are ignored.
+Archives are values of a binary column: segments of some megabytes, each a valid sequence of gzip members. Null html counts as empty. Of equal payloads, the rows
+with the largest page id are responses, all of them where that id repeats, whatever their urls; the others are revisits of that id (of its smallest url). Rows
+without a page id never outrank others; among themselves they are all responses. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,8 +159,8 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     # A light first pass: only payloads that occur more than once have anything to say.
     keepers = (
         hashed.where(long).groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.max(F.struct("page_id", F.col("url"))).alias("k"))
-        .where("copies > 1").select(F.col("digest").alias("d"), F.col("k.page_id").alias("keeper"), F.col("k.url").alias("keeper_url"))
+        .agg(F.count("*").alias("copies"), F.max("page_id").alias("keeper"), F.min_by("url", F.struct(F.col("page_id").isNull(), -F.col("page_id"), "url")).alias("keeper_url"))
+        .where("copies > 1").select(F.col("digest").alias("d"), "keeper", "keeper_url")
     )
     return hashed.join(keepers, long & (F.col("digest") == F.col("d")), "left").drop("d")
 
@@ -202,7 +202,7 @@ def convert_archives(arcs: DataFrame) -> DataFrame:
                 for (fields, block), note in zip(read_arc(row["data"]), row["notes"], strict=True):
                     digest = hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest()
                     keeper = note["keeper"]
-                    response = keeper is None or (keeper == note["page_id"] and fields["URL"] == clean_url(note["keeper_url"]))
+                    response = keeper is None or keeper == note["page_id"]
                     target = None if response else record_id(clean_url(note["keeper_url"]), capture_time(keeper), digest, keeper)
                     out.append(convert(fields, block, note["page_id"], digest, None if response else keeper, target))
                 yield pa.RecordBatch.from_arrays([pa.array([row["archive"].removesuffix(".arc") + ".warc.gz"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "data"])

@@ -279,3 +279,29 @@ def test_bpe_endless_white_space(spark):
     text = "a" + " " * 1_200_000 + "b"
     row = bpe.decode(bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, P.PATTERN), RANKS).first()
     assert bytes(row["decoded"]).decode() == text
+
+
+def test_vote_estimates_recover_planted_accuracies(spark):
+    """Votes drawn with known rates from two classes: the estimates come near them, although they start elsewhere."""
+    rng = np.random.default_rng(11)
+    rules = list(quality_rules.RULES)
+    rates = {r: ((0.6 + 0.03 * k, 0.02 + 0.005 * k), (0.2 + 0.02 * k, 0.3 + 0.03 * k)) for k, r in enumerate(rules)}
+    good = rng.random(40_000) < 0.7
+    votes = []
+    for r in rules:
+        up, down = (np.where(good, rates[r][0][v], rates[r][1][v]) for v in (0, 1))
+        u = rng.random(len(good))
+        votes.append(np.where(u < up, 1, np.where(u < up + down, -1, 0)))
+    seen = Counter(zip(*(v.tolist() for v in votes), strict=True))
+    patterns = spark.createDataFrame([(*p, n) for p, n in seen.items()], [*rules, "n"])
+    model = quality_rules.fit(patterns, rules, rounds=25)
+    assert abs(model.prior - 0.7) < 0.02
+    for r in rules:
+        assert np.abs(np.array(model.rates[r]) - np.array(rates[r])).max() < 0.03
+
+
+def test_repeated_words_of_a_very_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(1_000_000))
+    twice = " ".join(f"w{k % 600_000}" for k in range(1_000_000))
+    rows = quality_rules.metrics(spark.createDataFrame([(1, text), (2, twice)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_repeat_words"] for r in rows] == [0, 800_000]

@@ -48,3 +48,25 @@ def test_active_entries(spark):
         0: (0, None), 1: (1, "a.org"), 2: (0, None), 3: (1, "a.org"), 4: (1, "b.org"), 5: (0, None), 6: (0, None), 7: (0, None), 8: (0, None)
     }
     assert url_lists.active_entries(spark.createDataFrame(captures, "page_id long, url string, fetched long"), lists.limit(0)).count() == 9
+
+
+def test_repeated_page_ids(spark):
+    rows = [(5, "a", LONG), (5, "b", LONG), (5, "b", LONG), (3, "a", LONG), (None, "a", LONG), (8, "c", LONG + "y" * 2_000_000), (9, "c", LONG + "y" * 2_000_000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest long").repartition(4)
+    warcs = warc.convert_archives(warc.arc_archives(warc.revisits(pages)))
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.read_archives(warcs).collect())
+    assert got == [("3", "revisit", 5), ("5", "response", None), ("5", "response", None), ("5", "response", None), ("8", "revisit", 9), ("9", "response", None), ("None", "revisit", 5)]
+    headers = [h for r in warcs.collect() for h, _ in warc.read_warc(bytes(r["data"]))]
+    first = {h["WARC-Record-ID"] for h in headers if h["X-Page-Id"] == "5" and h["WARC-Target-URI"] == "a"}
+    assert {h["WARC-Refers-To"] for h in headers if h.get("X-Refers-To-Page") == "5"} == first
+
+
+def test_captures_that_repeat_long_hosts_addresses_and_clashing_columns(spark):
+    deep = ".".join(["d"] * 300) + ".a.org"
+    captures = [(1, "http://[::1]:8080/p", 5), (2, "http://[::1]/", 5), (3, f"http://{deep}/", 5), (4, "http://a.org/", 5), (4, "http://a.org/", 5), (None, "http://a.org/", 5)]
+    frame = spark.createDataFrame([(*c, 0, 0, "z") for c in captures], "page_id long, url string, fetched long, capture long, entry long, host string").repartition(3)
+    events = spark.createDataFrame([("a.org", 1, "add"), ("[::1]", 1, "add")], "entry string, at long, action string")
+    lists = url_lists.intervals(events).selectExpr("*", "1 AS capture", "'q' AS host")
+    got = sorted((str(r["page_id"]), r["host"][:6], r["n_active"], r["first_entry"]) for r in url_lists.active_entries(frame, lists).collect())
+    assert got == [("1", "[::1]", 1, "[::1]"), ("2", "[::1]", 1, "[::1]"), ("3", "d.d.d.", 1, "a.org"), ("4", "a.org", 1, "a.org"), ("4", "a.org", 1, "a.org"), ("None", "a.org", 1, "a.org")]
+    assert url_lists.active_entries(frame.limit(0), lists).count() == 0
