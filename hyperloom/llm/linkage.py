@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,10 +190,10 @@ def place_members(components: DataFrame, chunk: int = 2000, label: str = "placed
     return materialize(placed, label)
 
 
-def link_members(members: DataFrame, link: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], label: str = "links") -> DataFrame:
+def link_members(members: DataFrame, link: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]], label: str = "links") -> DataFrame:
     """(id, root) of placed members (comp, i, j, id, and what ``link`` needs) that ``link`` connects.
 
-    ``link(frame)`` returns positions of a spanning forest of the true links among the rows of ``frame``.
+    ``link(columns)`` returns positions of a spanning forest of the true links among the rows of a task, given as arrays by column.
     """
 
     task = ["comp", "i", "j"]
@@ -205,13 +204,12 @@ def link_members(members: DataFrame, link: Callable[[pd.DataFrame], tuple[np.nda
         return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
 
     def links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        frame, found = table.to_pandas(), []
-        for low, high in zip(starts, np.append(starts[1:], len(frame)), strict=True):
+        columns, found = {c: table[c].to_numpy() for c in table.column_names}, []
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
             if high - low > 1:
-                part = frame.iloc[low:high].reset_index(drop=True)
-                left, right = link(part)
-                ids = part["id"].to_numpy()
-                found.append((ids[left], ids[right]))
+                left, right = link({c: v[low:high] for c, v in columns.items()})
+                if len(left):
+                    found.append((columns["id"][low:high][left], columns["id"][low:high][right]))
         if found:
             a, b = forest(*(np.concatenate(ends) for ends in zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGE_ARROW)

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -240,11 +239,11 @@ class CountTree:
         return hit[to]
 
 
-def verify(frame: pd.DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def verify(columns: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the exact links among the whole sets of compressed texts (blob)."""
     reader = zstandard.ZstdDecompressor()
     sets = []
-    for blob in frame["blob"]:
+    for blob in columns["blob"]:
         data = np.frombuffer(reader.decompress(blob), np.uint8)
         sets += shingle_sets(data, np.array([0, len(data)]))
     n = np.array([len(s) for s in sets])
@@ -292,7 +291,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").mapInArrow(squeeze, "id long, blob binary")
     # The same join at every size: a broadcast of the members is only possible while they are few.
-    links = link_members(placed.hint("merge").join(texts, "id"), lambda frame: verify(frame, num, den), label="set-links")
+    links = link_members(placed.hint("merge").join(texts, "id"), lambda columns: verify(columns, num, den), label="set-links")
     roots = links.select(F.col("id").alias("rep"), "root")
     own = table.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = own.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").cast("long").alias("component_id"))

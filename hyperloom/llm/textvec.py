@@ -61,6 +61,8 @@ class Alphabet:
 SPACED = Alphabet(b"\x20\x09\x0a\x0b\x0c\x0d", lower=True)
 #: Words of letters and non-ASCII characters only, A-Z folded.
 LETTERS = Alphabet(bytes(b for b in range(128) if not chr(b).isalpha()), lower=True)
+#: Words of letters, digits and non-ASCII characters, A-Z folded.
+ALNUM = Alphabet(bytes(b for b in range(128) if not chr(b).isalnum()), lower=True)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -120,8 +120,8 @@ def test_chunks_of_large_components(spark):
     frame = spark.createDataFrame(rows, "root long, id long, at long")
     placed = linkage.place_members(frame.select("id", "root"), chunk=10).join(frame.select("id", "at"), "id")
 
-    def link(pdf):
-        at = pdf["at"].to_numpy()
+    def link(columns):
+        at = columns["at"]
         return linkage.spread(len(at), lambda i, to: np.abs(at[to] - at[i]) == 1)
 
     got = {r["id"]: r["root"] for r in linkage.link_members(placed, link).collect()}
@@ -156,22 +156,13 @@ def test_edit_distance():
 
 def brute_lines(texts):
     """The kept text of each document by comparing all pairs of distinct lines."""
-    import pyarrow as pa
-
-    from hyperloom.llm.textvec import LETTERS, Words, utf8
-
-    where, raw = {}, {}
+    where = {}
     for ident in sorted(texts):
         for pos, line in enumerate((texts[ident] or "").split("\n")):
-            data, offsets = utf8(pa.array([line]))
-            words = Words(data, offsets, LETTERS)
-            if len(words.hash) >= line_dedup.MIN_WORDS:
-                key = tuple(words.hash.tolist())
+            key = " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
+            if key and (len(key.split(" ")) >= line_dedup.MIN_WORDS or len(key) >= line_dedup.MIN_CHARS):
                 where.setdefault(key, []).append((ident, pos))
-                raw.setdefault(key, (words.hash, line))
     keys = list(where)
-    fp = [int(line_dedup.simhash(h, np.array([0]), np.array([len(h)]))[0]) for h, _ in (raw[k] for k in keys)]
-    text = [line_dedup.normalise(raw[k][1]) for k in keys]
     parent = list(range(len(keys)))
 
     def find(x):
@@ -181,7 +172,8 @@ def brute_lines(texts):
 
     for i in range(len(keys)):
         for j in range(i):
-            if bin(fp[i] ^ fp[j]).count("1") <= line_dedup.MOST_BITS and line_dedup.similar(text[i], text[j], line_dedup.SIMILARITY):
+            most = int((1 - line_dedup.SIMILARITY) * max(len(keys[i]), len(keys[j])) + 1e-9)
+            if abs(len(keys[i]) - len(keys[j])) <= most and line_dedup.edit_distance(keys[i], keys[j], most) <= most:
                 parent[find(i)] = find(j)
     groups = {}
     for i, k in enumerate(keys):
