@@ -6,7 +6,7 @@ with a confidence margin. The final classifier minimises the non-negative unbias
 prior * E+[loss(-g)]), by gradient steps that turn back where the second term falls below zero. Labels of bad texts are never used.
 
 Fitting reads at most ``most_labelled`` trusted and ``most_unlabelled`` unlabelled texts (smallest hashes of their ids); the prior is
-estimated over all texts. Null and empty texts have the features of no words. Without trusted positives every score is 0.5.
+estimated over all texts. Null and empty texts have the features of no words. Without trusted positives, or without unlabelled texts, every score is 0.5.
 Repeated rows get equal scores, and other columns pass unchanged or are ignored.
 """
 
@@ -103,6 +103,7 @@ class QualityModel:
     spread: np.ndarray
     weights: np.ndarray  # the last one is the intercept
     prior: float
+    fitted: bool = True
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.spread, -6, 6)
@@ -160,15 +161,20 @@ def class_prior(trusted: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(((above_u + margin) / np.maximum(above_p, 1e-9))[ok].min(), 0.05, 0.99))
 
 
-def feature_table(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x): the features of each text, written to the shared folder."""
+def feature_column(column: str = "text") -> Column:
+    """The features of a text column as an array."""
 
     @F.arrow_udf("array<float>")
     def vector(texts: pa.Array) -> pa.Array:
         x = features(texts)
         return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES, x.ravel())
 
-    return materialize(docs.select(F.col(ident).alias("doc_id"), vector(F.col(text)).alias("x")), "quality-features")
+    return vector(F.col(column))
+
+
+def feature_table(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, x): the features of each text, written to the shared folder."""
+    return materialize(docs.select(F.col(ident).alias("doc_id"), feature_column(text).alias("x")), "quality-features")
 
 
 def margin_column(model: QualityModel, column: str = "x") -> Column:
@@ -189,7 +195,7 @@ def fit(table: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     draw = lambda kind, most: kinds.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").select("x").limit(most).toArrow()["x"]
     flat = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(float)
     p, u = flat(draw("trusted", most_labelled)), flat(draw("unlabelled", most_unlabelled))
-    none = QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5)
+    none = QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5, False)
     if not len(p) or not len(u):
         return none
     both = np.concatenate([p, u])

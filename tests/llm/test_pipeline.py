@@ -24,3 +24,19 @@ def test_stages(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+
+
+def test_stages_on_odd_rows_and_no_rows(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows, clashing column names and no n_chars; see the stages' docstrings."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    clash = odd.selectExpr("*", "'a' AS toxicity", "1 AS quality", "1 AS features", "2 AS line_key", "3 AS other", "4 AS comp", "5 AS score", "6 AS rep")
+    bare = none.selectExpr("doc_id", "text")
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, clash, SF)
+        assert kept.columns == clash.columns, name
+        rows = kept.collect()
+        assert {3, 4, None} <= {r["doc_id"] for r in rows} or name == "quality classifier", name
+        assert stage(spark, bare, SF).columns == ["doc_id", "text"] and stage(spark, bare, SF).count() == 0, name
+    assert sorted(r["doc_id"] or 0 for r in pipeline.STAGES[3][1](spark, clash, SF).collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+    packed = pipeline.STAGES[-1][1](spark, clash, SF)
+    assert packed.select("doc_id").where("piece = 0").count() == 11 and pipeline.STAGES[-1][1](spark, bare, SF).count() == 0
