@@ -1,6 +1,7 @@
 """From ``documents`` to packed training sequences, in five stages.
 
-Each stage takes what its predecessor kept and returns the columns of ``documents``, but for the last, which returns packed pieces.
+Each stage takes what its predecessor kept and returns the columns of ``documents`` (``doc_id`` and ``text`` are needed, others pass unchanged, whatever their names), but for
+the last, which returns packed pieces. An empty table passes every stage and gives no pieces.
 """
 
 from __future__ import annotations
@@ -17,31 +18,39 @@ TOXIC_FROM, GOOD_FROM = 0.5, 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are judged one by one: repeats and rows without an id like all others; null and empty texts have no evidence and stay. Without labels of both classes all stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     (score,) = fresh(docs, "toxicity")
     return docs.withColumn(score, toxicity.score_column(model)).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_pu.fit(quality_pu.feature_table(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    (score,) = fresh(docs, "quality")
-    return docs.withColumn(score, quality_pu.score_column(model)).where(F.col(score) >= GOOD_FROM).drop(score)
+    """Rows are judged one by one, repeats and rows without an id like all others; null and empty texts have the features of no words. Without labels or unlabelled
+    texts there is no model, and all stay."""
+    (x,) = fresh(docs, "features")
+    table = materialize(docs.withColumn(x, quality_pu.feature_column("text")), "scored-features")
+    model = quality_pu.fit(table.select("doc_id", F.col(x).alias("x")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return table.where(quality_pu.probability(model, x) >= GOOD_FROM if model.fitted else F.lit(True)).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that lose lines keep the rest; one that loses all its words goes."""
+    """Documents that lose lines keep the rest (with ``n_chars``, if there, counted again); one that loses all its words goes. Null and empty texts, and rows without an
+    id, stay as they are; rows that repeat an id count as one document."""
     kept, _, removed = line_dedup.dedup_lines(docs)
     kept = kept.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return kept.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays."""
+    """Of each component the document with the smallest id stays, with all rows that repeat it. Texts without words, and rows without an id, stay."""
     others = ngram_join.near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("other")).distinct()
     return docs.join(others, docs["doc_id"] == others["other"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed, repeats and rows without an id too; null and empty texts are one piece, the end id."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
