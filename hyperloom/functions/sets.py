@@ -37,13 +37,29 @@ def connecting(separator, conn, component) -> Column:
 
 def balance_limit(size, factor: int = 2) -> Column:
     """Largest component that a balanced separator may leave: floor(size * (factor - 1) / factor)."""
-    return F.floor(F.col(size) * (factor - 1) / factor) if isinstance(size, str) else F.floor(size * (factor - 1) / factor)
+    size = F.col(size) if isinstance(size, str) else size
+    # In whole numbers: a division would round large sizes.
+    scaled = size * (factor - 1)
+    return ((scaled - F.pmod(scaled, F.lit(factor))) / factor).cast("long")
 
 
 def decrease(n) -> Column:
     return F.greatest(F.col(n) - 1, F.lit(0))
 
 
+def choose(n: Column, k: int) -> Column:
+    """Number of subsets of k of n elements, as an expression: each step divides without a rest."""
+    out = F.lit(1).cast("long")
+    for i in range(k):
+        out = F.call_function("div", out * (n - i), F.lit(i + 1)) if i else n.cast("long")
+    return F.when(n >= k, out).otherwise(F.lit(0).cast("long"))
+
+
+def combination_rank(positions: list[Column]) -> Column:
+    """Rank from 0 of ascending positions (from 1) among all sets of as many, in colexicographic order."""
+    return sum((choose(p - 1, k) for k, p in enumerate(positions[1:], 2)), choose(positions[0] - 1, 1))
+
+
 def binomial(n: int, k: int) -> int:
     from math import comb
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hyperloom.functions.sets import balance_limit, powerset
 from hyperloom.operators.incidence import lowest_edges, sizes
 from hyperloom.storage import cut
 
@@ -91,3 +92,42 @@ def by_cost(found: DataFrame, costs: DataFrame) -> DataFrame:
 
     joined = found.join(costs, ["g", "s"], "left").withColumn("cost", F.when(F.col("cost").isNull(), F.raise_error(F.concat(F.lit("no cost for separator "), "s")).cast("double")).otherwise(F.col("cost")))
     return joined.select("g", "s", "cost", F.row_number().over(Window.partitionBy("g").orderBy("cost", "s")).alias("rank"))
+
+
+def subedges(inc: DataFrame, k: int = 2) -> DataFrame:
+    """(g, e, subset): the non-empty proper subsets of unions of up to ``k`` proper intersections of edge e with others, each once.
+
+    Subsets of an edge number two to the power of its arity, so this is meant for edges of bounded arity.
+    """
+    meet = inc.join(inc.select("g", "v", F.col("e").alias("f")), ["g", "v"]).where("e != f").groupBy("g", "e", "f").agg(F.array_sort(F.collect_set("v")).alias("s"))
+    base = meet.join(sizes(inc), ["g", "e"]).where(F.size("s") < F.col("arity")).select("g", "e", "s").distinct()
+    unions = base
+    for _ in range(k - 1):
+        unions = unions.join(base.select("g", "e", F.col("s").alias("t")), ["g", "e"]).select("g", "e", F.array_sort(F.array_union("s", "t")).alias("s")).distinct()
+    found = unions.select("g", "e", F.explode(powerset(F.col("s"))).alias("subset")).where(F.size("subset") > 0).distinct()
+    return found.join(sizes(inc), ["g", "e"]).where(F.size("subset") < F.col("arity")).select("g", "e", "subset")
+
+
+def subedge_closure(inc: DataFrame, k: int = 2) -> DataFrame:
+    """(g, e, subset): all edges and subedges, each vertex set once, with the smallest edge that has it."""
+    whole = inc.groupBy("g", "e").agg(F.array_sort(F.collect_set("v")).alias("subset"))
+    return subedges(inc, k).union(whole).groupBy("g", "subset").agg(F.min("e").alias("e")).select("g", "e", "subset")
+
+
+def components_with_specials(inc: DataFrame, specials: DataFrame, seps: DataFrame) -> DataFrame:
+    """``components`` where special edges (g, e, v), with ids unlike the edges', join components too; one inside the separator is a component of its own."""
+    names = seps.select("g", "s").distinct()
+    found = components(inc.select("g", "e", "v").union(specials.select("g", "e", "v")), seps)
+    alone = specials.select("g", "e").distinct().join(names, "g").join(found, ["g", "s", "e"], "left_anti")
+    return found.union(alone.select("g", "s", "e", F.col("e").alias("comp")))
+
+
+def balance_with_specials(inc: DataFrame, specials: DataFrame, seps: DataFrame, factor: int = 2) -> DataFrame:
+    """(g, s, small_parts, balanced): no component above the limit of edges and special edges together, and, for ``balanced``, no special edge with the separator's vertices."""
+    parts = components_with_specials(inc, specials, seps).groupBy("g", "s", "comp").count().groupBy("g", "s").agg(F.max("count").alias("largest"))
+    total = inc.select("g", "e").distinct().union(specials.select("g", "e").distinct()).groupBy("g").agg(F.count("*").alias("edges"))
+    own = seps.groupBy("g", "s").agg(F.array_sort(F.collect_set("v")).alias("vertices"))
+    sets = specials.groupBy("g", "e").agg(F.array_sort(F.collect_set("v")).alias("vertices")).select("g", "vertices").distinct().withColumn("same", F.lit(True))
+    joined = own.join(total, "g").join(parts, ["g", "s"], "left").join(sets, ["g", "vertices"], "left")
+    small = F.coalesce("largest", F.lit(0)) <= balance_limit("edges", factor)
+    return joined.select("g", "s", small.alias("small_parts"), (small & F.col("same").isNull()).alias("balanced"))

@@ -130,3 +130,9 @@ def edge_order(inc: DataFrame, heuristic: str) -> DataFrame:
     """(g, e, rank) by descending 'vertex_degree' or 'edge_degree' weight, ties by id."""
     weights = edge_vertex_degree(inc) if heuristic == "vertex_degree" else edge_degree(inc).withColumnRenamed("degree", "weight")
     return weights.select("g", "e", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), "e")).alias("rank"))
+
+
+def order_by_arity(inc: DataFrame) -> DataFrame:
+    """(g, e, rank): by arity, then by the sorted vertices, then by id."""
+    order = Window.partitionBy("g").orderBy(F.size("vertices"), "vertices", "e")
+    return edge_lists(inc).select("g", "e", F.row_number().over(order).alias("rank"))

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.operators.incidence import overlaps, sizes, vertex_degree
-from hyperloom.storage import until_stable
+from hyperloom.operators.incidence import vertex_degree
+from hyperloom.storage import cut, until_stable
 
 
 def subsumed_edges(inc: DataFrame) -> DataFrame:
-    """(g, e, parent): edges inside another; of equal edges the one with the largest id stays. parent is the largest such edge's id."""
-    size = sizes(inc)
-    inside = overlaps(inc).join(size.select("g", F.col("e").alias("e1"), F.col("arity").alias("a1")), ["g", "e1"]).where("shared = a1")
-    other = inside.join(size.select("g", F.col("e").alias("e2"), F.col("arity").alias("a2")), ["g", "e2"])
-    return other.where("a2 > a1 OR e2 > e1").groupBy("g", F.col("e1").alias("e")).agg(F.max(F.struct("a2", "e2"))["e2"].alias("parent"))
+    """(g, e, parent): edges inside another; of equal edges the one with the largest id stays. parent is the largest such edge's id.
+
+    An edge inside another meets it at each of its vertices, so candidates are looked for at its rarest one alone.
+    """
+    members = inc.join(vertex_degree(inc), ["g", "v"]).select("g", "e", "v", "degree")
+    edges = members.groupBy("g", "e").agg(F.array_sort(F.collect_set("v")).alias("vs"), F.min(F.struct("degree", "v")).alias("rare"))
+    edges = edges.select("g", "e", "vs", F.col("rare.v").alias("v"), F.col("rare.degree").alias("degree"))
+    meet = edges.where("degree > 1").select("g", "v", "e", "vs").join(inc.select("g", "v", F.col("e").alias("e2")), ["g", "v"]).where("e != e2")
+    both = meet.select("g", "e", "e2", "vs").join(edges.select("g", F.col("e").alias("e2"), F.col("vs").alias("vs2")), ["g", "e2"])
+    inside = both.where("(size(vs2) > size(vs) OR (size(vs2) = size(vs) AND e2 > e)) AND size(array_except(vs, vs2)) = 0")
+    return inside.groupBy("g", "e").agg(F.max(F.struct(F.size("vs2").alias("n"), "e2"))["e2"].alias("parent"))
 
 
 def remove_subsumed(inc: DataFrame) -> DataFrame:
@@ -30,12 +36,12 @@ def remove_lonely(inc: DataFrame) -> DataFrame:
 
 
 def gyo_round(inc: DataFrame) -> DataFrame:
-    return remove_lonely(remove_subsumed(inc))
+    return remove_lonely(cut(remove_subsumed(inc), "unsubsumed"))
 
 
 def gyo(inc: DataFrame) -> DataFrame:
     """The residue of removing subsumed edges and lonely vertices until nothing changes; empty for acyclic graphs."""
-    return until_stable(inc.select("g", "e", "v"), gyo_round, "gyo")
+    return until_stable(inc.select("g", "e", "v").distinct(), gyo_round, "gyo")
 
 
 def acyclic(inc: DataFrame, residue: DataFrame) -> DataFrame:

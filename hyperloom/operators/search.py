@@ -53,8 +53,6 @@ def subedges(edges: Edges, e: int, k: int) -> list[frozenset[int]]:
             union = frozenset().union(*chosen)
             for size in range(len(union), 0, -1):
                 found |= {frozenset(c) for c in combinations(sorted(union), size)}
-            if len(found) > 4096:
-                break
     return [*sorted(found - {edges[e]}, key=lambda s: (-len(s), sorted(s))), frozenset()]
 
 

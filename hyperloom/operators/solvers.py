@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import islice, product
-from time import monotonic
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 from hyperloom.operators.search import Edges, closure, combos, covers, gyo_log, parts, subedges
 
 TREE = "g long, node int, parent int, bag array<long>, cover array<long>, cost double"
-MOST_VARIANTS = 2000
+#: Candidates that a solver may try in one graph.
+STEPS = 1_000_000
 
 
 @dataclass
@@ -34,7 +34,7 @@ class Node:
     cost: float = 0.0
 
 
-class OutOfTime(Exception):
+class OutOfSteps(Exception):
     pass
 
 
@@ -64,7 +64,14 @@ class Solver:
     factor: int = 2
     depth: int = 1
     costs: dict[tuple[int, ...], float] | None = None
-    deadline: float = float("inf")
+    steps: int = STEPS
+    below_edge: dict[int, list[frozenset[int]]] = field(default_factory=dict)
+
+    def step(self) -> None:
+        """Counts a candidate; the search ends without an answer when there are no steps left, at the same place on every machine."""
+        self.steps -= 1
+        if self.steps < 0:
+            raise OutOfSteps
 
     def solve(self, edges: Edges) -> Node | None:
         self.edges = edges
@@ -80,8 +87,6 @@ class Solver:
     # --- balanced separators ---
 
     def balance(self, edges: Edges, specials: list, depth: int) -> Node | None:
-        if monotonic() > self.deadline:
-            raise OutOfTime
         leaves = [Node(vs, cover, special=True) for cover, vs in specials]
         own = frozenset().union(*edges.values()) if edges else frozenset()
         if len(edges) <= self.k and len(specials) <= 1:
@@ -96,6 +101,7 @@ class Solver:
         limit = size * (self.factor - 1) // self.factor
         for chosen in self.separators(inside):
             for cover, x in self.variants(chosen, inside):
+                self.step()
                 if not x or any(vs == x for _, vs in specials):
                     continue
                 below = parts(edges, specials, x)
@@ -130,8 +136,11 @@ class Solver:
         if self.kind == "global":
             return
         seen = {whole}
-        choices = [[self.edges[e], *subedges(self.edges, e, self.k)] for e in cover]
-        for pick in islice(product(*choices), MOST_VARIANTS):
+        for e in cover:
+            if e not in self.below_edge:
+                self.below_edge[e] = [self.edges[e], *subedges(self.edges, e, self.k)]
+        for pick in product(*(self.below_edge[e] for e in cover)):
+            self.step()
             x = frozenset().union(*pick) & inside
             if x and x not in seen:
                 seen.add(x)
@@ -161,8 +170,6 @@ class Solver:
     # --- cover search ---
 
     def cover_search(self, edges: Edges, conn: frozenset[int], failed: dict) -> Node | None:
-        if monotonic() > self.deadline:
-            raise OutOfTime
         own = frozenset().union(*edges.values())
         if len(edges) <= self.k and conn <= own:
             return Node(own, tuple(sorted(edges)))
@@ -171,6 +178,7 @@ class Solver:
             return None
         near = {e: vs for e, vs in self.edges.items() if vs & (own | conn)}
         for chosen in covers(near, conn, self.k, set(edges)):
+            self.step()
             x = frozenset().union(*(self.edges[e] for e in chosen))
             bag = x & (own | conn)
             below = parts(edges, [], bag)
@@ -294,35 +302,41 @@ def rows(g: int, root: Node) -> list[tuple]:
     return out
 
 
-def solve_graphs(inc: DataFrame, mode: str = "decision", k: int = 2, kind: str = "local", seconds: float = 60.0, **options) -> DataFrame:
-    """Trees (g, node, parent, bag, cover, cost) of all graphs that have one.
+def search_graphs(inc: DataFrame, mode: str = "decision", k: int = 2, kind: str = "local", steps: int = STEPS, **options) -> DataFrame:
+    """(g, verdict, node, parent, bag, cover, cost): trees of all graphs; a graph without one has one row, whose node is null.
 
-    ``mode``: 'decision' tries width k; 'exact' tries 1, 2, ... up to the number of edges; 'approx' starts from the split tree and lowers the width
-    until that fails or the time is up. A graph out of time has no rows, but for 'approx', which keeps its best tree.
+    ``mode``: 'decision' tries width k; 'exact' tries 1, 2, ... up to the number of edges; 'approx' starts from the split tree and lowers the width as long as that succeeds.
+    The verdict is 'yes', 'no' (no tree of this kind exists), or 'open' where the ``steps`` for the graph ended first; 'approx' then gives its best tree so far.
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         g = int(frame["g"].iloc[0])
         edges = {int(e): frozenset(map(int, vs)) for e, vs in zip(frame["e"], frame["vertices"], strict=True)}
-        end = monotonic() + seconds
-        best = None
+        best, verdict = None, "no"
         try:
             if mode == "decision":
-                best = decompose(edges, k, kind, deadline=end, **options)
+                best = decompose(edges, k, kind, steps=steps, **options)
             elif mode == "exact":
-                best = next((t for w in range(1, len(edges) + 1) if (t := decompose(edges, w, kind, deadline=end, **options))), None)
+                best = next((t for w in range(1, len(edges) + 1) if (t := decompose(edges, w, kind, steps=steps, **options))), None)
             else:
                 wide = -(-len(edges) // 2)
                 best = split(edges, max(1, wide))
-                while wide > 1 and (t := decompose(edges, wide - 1, kind, deadline=end, **options)):
+                while wide > 1 and (t := decompose(edges, wide - 1, kind, steps=steps, **options)):
                     best, wide = t, max(len(n.cover) for n in walk(t))
-        except OutOfTime:
-            pass
-        found = rows(g, best) if best is not None else []
-        return pd.DataFrame(found, columns=["g", "node", "parent", "bag", "cover", "cost"]).astype({"parent": "Int32"})
+            verdict = "no" if best is None else "yes"
+        except OutOfSteps:
+            verdict = "open"
+        found = rows(g, best) if best is not None else [(g, None, None, None, None, None)]
+        out = pd.DataFrame(found, columns=["g", "node", "parent", "bag", "cover", "cost"]).astype({"node": "Int32", "parent": "Int32"})
+        return out.assign(verdict=verdict)
 
     lists = inc.groupBy("g", "e").agg(F.array_sort(F.collect_set("v")).alias("vertices"))
-    return lists.groupBy("g").applyInPandas(one, TREE)
+    return lists.groupBy("g").applyInPandas(one, f"{TREE}, verdict string")
+
+
+def solve_graphs(inc: DataFrame, mode: str = "decision", k: int = 2, kind: str = "local", **options) -> DataFrame:
+    """The trees (g, node, parent, bag, cover, cost) of ``search_graphs`` alone."""
+    return search_graphs(inc, mode, k, kind, **options).where("node IS NOT NULL").drop("verdict")
 
 
 def hinge_parts(inc: DataFrame) -> DataFrame:

@@ -122,3 +122,20 @@ def restore_types_in_bags(tree: DataFrame, members: DataFrame) -> DataFrame:
     """Bags with every vertex that a representative in them stands for."""
     full = bag_rows(tree).select("g", "node", F.col("v").alias("rep")).join(members, ["g", "rep"]).groupBy("g", "node").agg(F.array_sort(F.collect_set("v")).alias("full"))
     return tree.join(full, ["g", "node"], "left").select("g", "node", "parent", F.coalesce("full", "bag").alias("bag"), "cover")
+
+
+def edges_used(tree: DataFrame, inc: DataFrame) -> DataFrame:
+    """(g, e, used): whether some node has the edge in its cover and all its vertices in its bag."""
+    lists = inc.groupBy("g", "e").agg(F.collect_set("v").alias("vertices"))
+    named = tree.select("g", "bag", F.explode("cover").alias("e"))
+    held = lists.join(named, ["g", "e"]).where(F.size(F.array_except("vertices", "bag")) == 0).select("g", "e").distinct()
+    return lists.select("g", "e").join(held.withColumn("used", F.lit(True)), ["g", "e"], "left").select("g", "e", F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def restore_subedges(parts: DataFrame, inc: DataFrame) -> DataFrame:
+    """(g, node, e): for a cover by vertices only (g, node, vertices) the first edge with all of them; nodes without such an edge have no row."""
+    size = parts.select("g", "node", F.size("vertices").alias("n"), F.explode_outer("vertices").alias("v"))
+    hit = size.where("v IS NOT NULL").join(inc, ["g", "v"]).groupBy("g", "node", "n", "e").agg(F.count("*").alias("m")).where("m = n")
+    first = inc.groupBy("g").agg(F.min("e").alias("e"))
+    empty = size.where("v IS NULL").join(first, "g").select("g", "node", "e")
+    return hit.groupBy("g", "node").agg(F.min("e").alias("e")).union(empty)

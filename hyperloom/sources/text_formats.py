@@ -76,6 +76,19 @@ def labelled_edges(texts: DataFrame, kind: str = "hyperbench") -> DataFrame:
     return texts.select("name", "text").mapInPandas(run, LABELLED)
 
 
+def add_edges(labelled: DataFrame, texts: DataFrame, kind: str = "hyperbench") -> DataFrame:
+    """``labelled`` with the edges of further texts (name, text) after its own; the dictionary over both gives their new labels ids."""
+    last = labelled.groupBy("name").agg((F.max("edge_pos") + 1).alias("more"))
+    new = labelled_edges(texts, kind).join(last, "name", "left").withColumn("edge_pos", F.col("edge_pos") + F.coalesce("more", F.lit(0)))
+    return labelled.union(new.select(labelled.columns))
+
+
+def transparent(labelled: DataFrame) -> DataFrame:
+    """(name, e, v) where labels keep the number they end in as their id, instead of the dictionary's."""
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+    return labelled.select("name", number("edge").alias("e"), number("vertex").alias("v")).distinct()
+
+
 def dictionary(labelled: DataFrame) -> DataFrame:
     """(name, id, label, kind): vertices numbered from 1 by first appearance, edges after them."""
     first = labelled.groupBy("name", F.col("vertex").alias("label")).agg(F.min(F.struct("edge_pos", "pos")).alias("at")).withColumn("kind", F.lit("V"))
@@ -115,8 +128,9 @@ def read_costs(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     Unknown edges, bad costs and repeated combinations are errors.
     """
-    rows = texts.select("name", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    cells = rows.select("name", F.monotonically_increasing_id().alias("r"), F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("c"))
+    rows = texts.select("name", F.posexplode(F.split("text", "\n")).alias("r", "line")).where(F.trim("line") != "")
+    cells = rows.select("name", "r", F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("c"))
+    cells = cells.withColumn("c", F.when(F.size("c") < 2, F.raise_error(F.concat(F.lit("a cost without an edge: "), F.col("c")[0])).cast("array<string>")).otherwise(F.col("c")))
     ids = names.where("kind = 'E'").select("name", F.col("label").alias("edge"), "id")
     picked = cells.select("name", "r", F.element_at("c", -1).cast("double").alias("cost"), F.explode(F.slice("c", 1, F.size("c") - 1)).alias("edge")).join(ids, ["name", "edge"], "left")
     known = picked.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("unknown edge "), "edge")).cast("long")).otherwise(F.col("id")))
@@ -180,3 +194,12 @@ def tree_from_gml(texts: DataFrame) -> DataFrame:
     nodes = nodes.select("g", F.col("x.i").cast("int").alias("node"), ints(F.col("x.b")).alias("bag"), ints(F.col("x.c")).alias("cover"))
     links = texts.select("g", F.explode(F.arrays_zip(get(link, 1).alias("s"), get(link, 2).alias("t"))).alias("x")).select("g", F.col("x.t").cast("int").alias("node"), F.col("x.s").cast("int").alias("parent"))
     return nodes.join(links, ["g", "node"], "left").select("g", "node", "parent", "bag", "cover")
+
+
+def tree_lines(tree: DataFrame) -> DataFrame:
+    """(g, node, text): a line for each node, indented by its depth."""
+    from hyperloom.operators.trees import ancestors
+
+    depth = ancestors(tree).groupBy("g", "node").agg((F.count("*") - 1).cast("int").alias("depth"))
+    text = F.concat(F.repeat(F.lit("\t"), F.col("depth")), F.lit("Bag: {"), F.array_join("bag", ", "), F.lit("} Cover: {"), F.array_join("cover", ", "), F.lit("}"))
+    return tree.join(depth, ["g", "node"]).select("g", "node", text.alias("text"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from hyperloom.plans import corpus_queries
+from hyperloom.plans import corpus_queries, structure_queries
 
 SF = "/root/testdata/sf0.001"
 

@@ -155,3 +155,19 @@ def test_width_one_is_acyclic(spark):
     flags = corpus_queries.is_acyclic(spark, SF)
     joined = widths.join(flags, "g")
     assert joined.count() == 150 and joined.where("(width = 1) != is_acyclic").count() == 0
+
+
+def test_solvers_answer_alike_and_open_searches_say_so(spark):
+    """With steps enough yes and no agree with the exact search; without any, every graph that needs a search is open, and none is called unsolvable."""
+    h = spark.createDataFrame([(1, e, v) for e, vs in enumerate([(1, 2), (2, 3), (3, 1)]) for v in vs] + [(2, e, v) for e, vs in enumerate([(1, 2), (2, 3), (3, 4), (4, 1), (1, 3), (2, 4)]) for v in vs], "g long, e long, v long")
+    for kind in ("global", "local", "hybrid", "cost", "det"):
+        for k, want in ((1, {1: "no", 2: "no"}), (2, {1: "yes", 2: "yes"})):
+            got = solvers.search_graphs(h, "decision", k, kind).select("g", "verdict").distinct().collect()
+            assert {r["g"]: r["verdict"] for r in got} == want, (kind, k)
+        assert {r["verdict"] for r in solvers.search_graphs(h, "decision", 1, kind, steps=0).collect()} == {"open"}
+
+
+def test_costs_without_an_edge_are_errors(spark):
+    names = spark.createDataFrame([("n", 1, "A", "E")], "name string, id long, label string, kind string")
+    with pytest.raises(Exception, match="a cost without an edge"):
+        text_formats.read_costs(spark.createDataFrame([("n", "A,2.5\n7")], "name string, text string"), names).collect()
