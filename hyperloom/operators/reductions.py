@@ -9,18 +9,38 @@ from hyperloom.operators.incidence import vertex_degree
 from hyperloom.storage import cut, until_stable
 
 
-def subsumed_edges(inc: DataFrame) -> DataFrame:
-    """(g, e, parent): edges inside another; of equal edges the one with the largest id stays. parent is the largest such edge's id.
+def shared_parts(inc: DataFrame, whole: bool = True) -> DataFrame:
+    """(g, e, vs, lone, v, degree) of distinct rows: the vertices of each edge that other edges have too, sorted; whether it has others; its rarest shared vertex.
+
+    With ``whole`` false the other vertices count as removed already. Edges without shared vertices have no row: they neither are inside others nor hold any.
+    """
+    degrees = inc.groupBy("g", "v").agg(F.count("*").alias("degree"))
+    if not whole:
+        degrees = degrees.where("degree > 1")
+    edges = inc.join(degrees, ["g", "v"]).groupBy("g", "e").agg(
+        F.array_sort(F.collect_list(F.when(F.col("degree") > 1, F.col("v")))).alias("vs"),
+        (F.min("degree") == 1).alias("lone"),
+        F.min(F.when(F.col("degree") > 1, F.struct("degree", "v"))).alias("rare"),
+    )
+    return edges.where("size(vs) > 0").select("g", "e", "vs", "lone", "rare.v", "rare.degree")
 
-    An edge inside another meets it at each of its vertices, so candidates are looked for at its rarest one alone.
+
+def inside_others(parts: DataFrame) -> DataFrame:
+    """(g, e, e2, vs, vs2, more): edges e of ``shared_parts`` inside others e2; of equal edges the one with the largest id is inside none.
+
+    An edge inside another meets it at each of its vertices, so candidates are looked for at its rarest one alone; one with a vertex of its own is inside none.
     """
-    members = inc.join(vertex_degree(inc), ["g", "v"]).select("g", "e", "v", "degree")
-    edges = members.groupBy("g", "e").agg(F.array_sort(F.collect_set("v")).alias("vs"), F.min(F.struct("degree", "v")).alias("rare"))
-    edges = edges.select("g", "e", "vs", F.col("rare.v").alias("v"), F.col("rare.degree").alias("degree"))
-    meet = edges.where("degree > 1").select("g", "v", "e", "vs").join(inc.select("g", "v", F.col("e").alias("e2")), ["g", "v"]).where("e != e2")
-    both = meet.select("g", "e", "e2", "vs").join(edges.select("g", F.col("e").alias("e2"), F.col("vs").alias("vs2")), ["g", "e2"])
-    inside = both.where("(size(vs2) > size(vs) OR (size(vs2) = size(vs) AND e2 > e)) AND size(array_except(vs, vs2)) = 0")
-    return inside.groupBy("g", "e").agg(F.max(F.struct(F.size("vs2").alias("n"), "e2"))["e2"].alias("parent"))
+    meet = parts.where("NOT lone").select("g", "v", "e", "vs").join(parts.select("g", F.col("e").alias("e2"), F.explode("vs").alias("v")), ["g", "v"]).where("e != e2")
+    both = meet.select("g", "e", "e2", "vs").join(parts.select("g", F.col("e").alias("e2"), F.col("vs").alias("vs2"), F.col("lone").alias("more")), ["g", "e2"])
+    larger = both.where("size(vs2) > size(vs) OR (size(vs2) = size(vs) AND (more OR e2 > e))")
+    return larger.where("size(array_except(vs, vs2)) = 0")
+
+
+def subsumed_edges(inc: DataFrame) -> DataFrame:
+    """(g, e, parent): edges inside another; of equal edges the one with the largest id stays. parent is the largest such edge's id."""
+    inside = inside_others(shared_parts(inc.select("g", "e", "v").distinct()))
+    arity = inc.groupBy("g", F.col("e").alias("e2")).agg(F.count_distinct("v").alias("n"))
+    return inside.join(arity, ["g", "e2"]).groupBy("g", "e").agg(F.max(F.struct("n", "e2"))["e2"].alias("parent"))
 
 
 def remove_subsumed(inc: DataFrame) -> DataFrame:
@@ -35,13 +55,25 @@ def remove_lonely(inc: DataFrame) -> DataFrame:
     return inc.join(lonely_vertices(inc), ["g", "v"], "left_anti")
 
 
+def gyo_step(inc: DataFrame, whole: bool) -> DataFrame:
+    """Distinct rows without lonely vertices and subsumed edges; with ``whole`` edges are compared with their lonely vertices, else without."""
+    parts = cut(shared_parts(inc, whole), "shared-parts")
+    left = parts.join(inside_others(parts).select("g", "e"), ["g", "e"], "left_anti")
+    return left.select("g", "e", F.explode("vs").alias("v"))
+
+
 def gyo_round(inc: DataFrame) -> DataFrame:
-    return remove_lonely(cut(remove_subsumed(inc), "unsubsumed"))
+    """Distinct rows without subsumed edges, then without vertices that are lonely in what is left."""
+    return remove_lonely(cut(gyo_step(inc, True), "unsubsumed"))
 
 
 def gyo(inc: DataFrame) -> DataFrame:
-    """The residue of removing subsumed edges and lonely vertices until nothing changes; empty for acyclic graphs."""
-    return until_stable(inc.select("g", "e", "v").distinct(), gyo_round, "gyo")
+    """The residue of removing subsumed edges and lonely vertices until nothing changes; empty for acyclic graphs.
+
+    Lonely vertices are dropped on the way to the comparison of edges, so that only shared ones are compared and written.
+    """
+    rows = cut(inc.select("g", "e", "v").distinct(), "rows")
+    return until_stable(gyo_step(rows, True), lambda rows: gyo_step(rows, False), "gyo")
 
 
 def acyclic(inc: DataFrame, residue: DataFrame) -> DataFrame:
