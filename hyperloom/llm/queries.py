@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import audio, bpe, line_dedup, ngram_join, packing, quality_pu, quality_rules, toxicity, url_lists, warc
+from hyperloom.llm import audio, bpe, line_dedup, ngram_join, packing, periodic_runs, quality_pu, quality_rules, toxicity, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found, _, runs, collapsed = periodic_runs.find_runs(docs)
+    return periodic_runs.digests(found, runs, collapsed)
+
+
 _OP6_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, url FROM pages),
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p)
@@ -109,6 +115,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS DISTINCT FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_telephony_audio, op5_byte_bpe, op6_arc_to_warc, op7_toxicity, op8_url_lists, op9_quality_classifier, op10_ngram_jaccard)
+    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_telephony_audio, op5_byte_bpe, op6_arc_to_warc, op7_toxicity, op8_url_lists, op9_quality_classifier, op10_ngram_jaccard, op12_periodic_runs)
 }
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle(), "op6_arc_to_warc": _OP6_SQL, "op8_url_lists": _OP8_SQL}
