@@ -35,33 +35,31 @@ FOUND = f"n_words bigint, runs array<{RUN}>, collapsed string"
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
-    """Equal numbers for equal words, in the narrowest type that leaves one value unused."""
+    """Equal numbers for equal words, in the narrowest type that leaves two values unused."""
     known: dict[bytes, int] = {}
     ids = [known.setdefault(w, len(known)) for w in words]
-    return np.array(ids, np.uint16 if len(known) < 65_535 else np.uint32)
+    return np.array(ids, np.uint16 if len(known) < 65_534 else np.uint32)
 
 
 def scan(ids: np.ndarray, low: int, high: int) -> np.ndarray:
     """Rows (start, length, lag) of the maximal stretches of equal words at the lags low..high-1 that are long enough."""
     n = len(ids)
     high = min(high, n // MIN_TIMES + 1)
+    none, never = np.iinfo(ids.dtype).max, np.iinfo(ids.dtype).max - 1  # beyond the end nothing is equal
     found = []
     lag = low
     while lag < high:
         many = min(high - lag, max(1, BLOCK // n))
         width = n - lag
-        unequal = np.full(many - 1, np.iinfo(ids.dtype).max, ids.dtype)  # beyond the end nothing is equal
-        shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([ids[lag:], unequal]), width)
-        equal = shifted == ids[:width]
-        # The shortest stretch that any lag asks for has 16 words: cells from which 16 are true remain after four foldings.
-        folded, step = equal, 1
-        while step < 16 and folded.shape[1] > step:
-            folded = folded[:, :-step] & folded[:, step:]
-            step *= 2
-        for k in np.flatnonzero(folded.any(axis=1)) if step == 16 else ():
+        eights = -(-width // 8)
+        fixed = np.concatenate([ids[:width], np.full(8 * eights - width, never, ids.dtype)])
+        moved = np.concatenate([ids[lag:], np.full(8 * eights - width + many - 1, none, ids.dtype)])
+        equal = np.lib.stride_tricks.sliding_window_view(moved, 8 * eights) == fixed
+        # The shortest stretch that any lag asks for has 16 words, so it fills one of the eights of cells.
+        for k in np.flatnonzero((equal.view(np.uint64) == 0x0101010101010101).any(axis=1)):
             q = lag + int(k)
             line = np.zeros(width + 2, np.int8)
-            line[1:-1] = equal[k]
+            line[1:-1] = equal[k, :width]
             turns = np.flatnonzero(np.diff(line))
             start, size = turns[::2], turns[1::2] - turns[::2] + q
             long = size >= max(MIN_WORDS, MIN_TIMES * q)
@@ -205,5 +203,6 @@ def with_tails(docs: DataFrame) -> DataFrame:
     cut = hashed.withColumn(words, F.when(hit, F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
     cut = cut.withColumn(n, F.size(words).cast("long")).withColumn(g, F.expr(f"{h} div 10"))
     cut = cut.withColumn(a, F.when(F.col(n) > 0, F.col(g) % F.col(n))).withColumn(p, F.expr(f"1 + ({n} - {a}) div (3 + {g} % 8)"))
-    tail = F.expr(f"array_join(transform({words}, (w, i) -> CASE WHEN i < {a} THEN w ELSE {words}[int({a} + (i - {a}) % {p})] END), ' ')")
+    # Whole periods until n - a words are there; no lambda, which would cut the text into words again for each of them.
+    tail = F.expr(f"array_join(concat(slice({words}, 1, int({a})), slice(flatten(array_repeat(slice({words}, int({a}) + 1, int({p})), int(({n} - {a}) div {p}) + 1)), 1, int({n} - {a}))), ' ')")
     return cut.withColumn("text", F.when(hit & (F.col(n) > 0), tail).otherwise(F.col("text"))).select(docs.columns)

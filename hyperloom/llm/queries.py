@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import audio, bpe, line_dedup, ngram_join, packing, periodic_runs, quality_pu, quality_rules, toxicity, url_lists, warc
+from hyperloom.llm import audio, bpe, line_dedup, ngram_join, packing, periodic_runs, prefix_trie, quality_pu, quality_rules, toxicity, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,37 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+  lambda crc, b: list_reduce([xor(crc, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+_OP11_SQL = f"""
+WITH given AS (
+  SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT c, list(turn ORDER BY k) AS ts FROM given GROUP BY c),
+hashed AS (SELECT c, ts, {_CRC} % 9 AS h FROM lists),
+built AS (
+  SELECT x.c, coalesce(s.ts[1:x.h], []) || x.ts[x.h + 1:] AS ts FROM hashed x LEFT JOIN lists s ON s.c = x.c - x.c % 5),
+members AS (SELECT c, ts[1:d] AS seq, d, len(ts) AS length FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT seq, d, min(c) AS rep, count(*) AS n, max(length) = d AS leaf, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = d), '') AS ends,
+         CASE WHEN d > 0 THEN (count(*) - 1) * octet_length(encode(seq[d].t)) ELSE 0 END AS saved
+  FROM members GROUP BY seq, d),
+above AS (SELECT d, leaf, saved, seq[1:a] AS seq FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM nodes)),
+sums AS (SELECT seq, count(*) FILTER (leaf) AS leaves, sum(saved) AS saved FROM above GROUP BY seq),
+kids AS (SELECT seq[1:d - 1] AS seq, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL)
+SELECT o.rep AS conv_id, o.d::BIGINT AS depth, p.rep AS parent_conv_id, o.n AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM nodes o JOIN sums s ON s.seq = o.seq LEFT JOIN kids k ON k.seq = o.seq LEFT JOIN nodes p ON o.d > 0 AND p.d = o.d - 1 AND p.seq = o.seq[1:o.d - 1]
+"""
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found, _, runs, collapsed = periodic_runs.find_runs(docs)
@@ -115,6 +146,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS DISTINCT FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_telephony_audio, op5_byte_bpe, op6_arc_to_warc, op7_toxicity, op8_url_lists, op9_quality_classifier, op10_ngram_jaccard, op12_periodic_runs)
+    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_telephony_audio, op5_byte_bpe, op6_arc_to_warc, op7_toxicity, op8_url_lists, op9_quality_classifier, op10_ngram_jaccard, op11_prefix_trie, op12_periodic_runs)
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle(), "op6_arc_to_warc": _OP6_SQL, "op8_url_lists": _OP8_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle(), "op6_arc_to_warc": _OP6_SQL, "op8_url_lists": _OP8_SQL, "op11_prefix_trie": _OP11_SQL}

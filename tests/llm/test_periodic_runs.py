@@ -94,7 +94,7 @@ def test_query_equals_plain(spark, documents):
 def test_odd_rows(spark, odd, none):
     """Nulls, blanks, repeats, long texts and clashing names; every row stays, and other columns pass."""
     docs = odd.withColumnRenamed("__id", "runs").selectExpr("*", "lang AS collapsed", "lang AS given", "lang AS `row`", "lang AS words")
-    found, n_words, runs, collapsed = periodic_runs.find_runs(docs, work=10_000)
+    found, n_words, runs, collapsed = periodic_runs.find_runs(docs, work=1 << 24)
     rows = found.collect()
     assert found.columns[: len(docs.columns)] == docs.columns and len(rows) == docs.count() and len(set(found.columns)) == len(found.columns)
     by = {r["doc_id"]: r for r in rows}
