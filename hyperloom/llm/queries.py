@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperloom.llm import audio, bpe, line_dedup, ngram_join, packing, periodic_runs, prefix_trie, quality_pu, quality_rules, toxicity, url_lists, warc
+from hyperloom.llm import audio, bpe, gru_lm, line_dedup, ngram_join, packing, periodic_runs, prefix_trie, quality_pu, quality_rules, toxicity, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +137,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(found, runs, collapsed)
 
 
+def op13_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    model = gru_lm.fit(docs, ~F.col("held_out"))
+    scored, *_ = gru_lm.score(docs, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 _OP6_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, url FROM pages),
 k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p)
@@ -146,6 +154,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS DISTINCT FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_telephony_audio, op5_byte_bpe, op6_arc_to_warc, op7_toxicity, op8_url_lists, op9_quality_classifier, op10_ngram_jaccard, op11_prefix_trie, op12_periodic_runs)
+    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_telephony_audio, op5_byte_bpe, op6_arc_to_warc, op7_toxicity, op8_url_lists, op9_quality_classifier, op10_ngram_jaccard, op11_prefix_trie, op12_periodic_runs, op13_gru_lm)
 }
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.oracle(), "op6_arc_to_warc": _OP6_SQL, "op8_url_lists": _OP8_SQL, "op11_prefix_trie": _OP11_SQL}
