@@ -190,8 +190,8 @@ def place_members(components: DataFrame, chunk: int = 2000, label: str = "placed
     return materialize(placed, label)
 
 
-def link_members(members: DataFrame, link: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]], label: str = "links") -> DataFrame:
-    """(id, root) of placed members (comp, i, j, id, and what ``link`` needs) that ``link`` connects.
+def link_members(members: DataFrame, link: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]], label: str = "links", known: DataFrame | None = None) -> DataFrame:
+    """(id, root) of placed members (comp, i, j, id, and what ``link`` needs) that ``link``, or the links ``known`` (a, b) beside them, connect.
 
     ``link(columns)`` returns positions of a spanning forest of the true links among the rows of a task, given as arrays by column.
     """
@@ -231,4 +231,4 @@ def link_members(members: DataFrame, link: Callable[[dict[str, np.ndarray]], tup
     # Most tasks have two or three members: a partition of them is one sorted run, cut where the task changes.
     ordered = members.repartition(*task).sortWithinPartitions(*task, "id")
     edges = materialize(ordered.mapInArrow(run, EDGE), label)
-    return connected_components(edges, f"{label}-components")
+    return connected_components(edges if known is None else edges.union(known), f"{label}-components")

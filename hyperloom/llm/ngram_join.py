@@ -263,16 +263,20 @@ def verify(columns: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarr
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+    """(doc_id, n_shingles, component_id) of each row. Rows that repeat an id are one document with the links of all their texts, and share its component."""
     frequent = frequent_shingles(docs, text)
     table = materialize(sketches(docs, ident, text, frequent, num, den), "sketches")
     linkable = table.where("doc_id IS NOT NULL AND n > 0")
     # Equal sets are one: the smallest id stands for them, with partial aggregation before the shuffle.
     classes = linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(classes.where("copies > 1").select("k1", "k2", "n", "rep"), "set-copies")
-    shadow = linkable.join(copies, ["k1", "k2", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("gone")).distinct()
-    # The number of copies grows with the documents: the same join at every size here as well.
-    points = linkable.join(shadow.hint("merge"), linkable["doc_id"] == shadow["gone"], "left_anti")
+    # The number of copies grows with the documents: the same join at every size here as well. A row goes for its set, not for its id.
+    points = linkable.join(copies.hint("merge"), ["k1", "k2", "n"], "left").where("rep IS NULL OR doc_id = rep")
+    # An id with several sets is one document: it is linked to what stands for each of them.
+    named_sets = table.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n")).alias("low"), F.max(F.struct("k1", "k2", "n")).alias("high"))
+    several = named_sets.where("low != high").select("doc_id")
+    known = linkable.join(several.hint("merge"), "doc_id").join(copies, ["k1", "k2", "n"]).where("doc_id != rep")
+    known = known.select(F.col("doc_id").cast("long").alias("a"), F.col("rep").cast("long").alias("b")).distinct()
     parts = points.select(F.col("doc_id").cast("long").alias("id"), "n", F.posexplode("parts").alias("slot", "p"))
     # Most leading shingles are in one set only: ids alone are sorted by shingle first, and the counts follow to those that are shared.
     shared = repeated_keys(parts.select(F.explode("p.tokens").alias("key"), "id", "slot"))
@@ -291,7 +295,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").mapInArrow(squeeze, "id long, blob binary")
     # The same join at every size: a broadcast of the members is only possible while they are few.
-    links = link_members(placed.hint("merge").join(texts, "id"), lambda columns: verify(columns, num, den), label="set-links")
+    links = link_members(placed.hint("merge").join(texts, "id"), lambda columns: verify(columns, num, den), label="set-links", known=known)
     roots = links.select(F.col("id").alias("rep"), "root")
     own = table.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     named = own.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").cast("long").alias("component_id"))

@@ -23,7 +23,7 @@ def test_stages(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")}
 
 
 def test_stages_on_odd_rows_and_no_rows(spark, odd, none):
@@ -37,6 +37,16 @@ def test_stages_on_odd_rows_and_no_rows(spark, odd, none):
         rows = kept.collect()
         assert {3, 4, None} <= {r["doc_id"] for r in rows} or name == "quality classifier", name
         assert stage(spark, bare, SF).columns == ["doc_id", "text"] and stage(spark, bare, SF).count() == 0, name
-    assert sorted(r["doc_id"] or 0 for r in pipeline.STAGES[3][1](spark, clash, SF).collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+    assert sorted({r["doc_id"] or 0 for r in pipeline.STAGES[3][1](spark, clash, SF).collect()}) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
     packed = pipeline.STAGES[-1][1](spark, clash, SF)
     assert packed.select("doc_id").where("piece = 0").count() == 11 and pipeline.STAGES[-1][1](spark, bare, SF).count() == 0
+
+
+def test_near_duplicate_stage_keeps_other_texts_of_an_id(spark):
+    """A row goes for its text: other rows of its id stay, of equal rows one stays."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, one), (5, one), (5, two), (None, one), (None, one), (7, two + " end"), (9, "x"), (9, "x"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = sorted(map(tuple, pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert left == sorted([(1, one), (5, two), (None, one), (None, one), (9, "x"), (4, None), (4, None)], key=str)

@@ -209,3 +209,28 @@ def test_line_dedup_odd_rows(odd, none):
     assert by[3] is None and by[4] == "" and by[5] == " \n\t \n" and by[None].startswith("The quick")
     assert all("__id" in r.asDict() and r["lang"] == "en" for r in rows if r["doc_id"] == 1)
     assert line_dedup.dedup_lines(none)[0].count() == 0
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows that repeat an id with other texts lose only their own repeated lines; equal rows are one document."""
+    one, other = "The quick brown fox jumps over the lazy dog today.", "Nobody else has this line of plain words in here."
+    rows = [(1, one), (2, one), (2, other), (2, f"{other}\n{one}"), (3, other + " No"), (3, "short"), (3, "short"), (None, one), (4, other), (4, other)]
+    got = sorted((tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))[0].select("doc_id", "text").collect()), key=str)
+    assert len(got) == len(rows) and got.count((4, "")) == 2 and got.count((3, "short")) == 2 and (None, one) in got and (1, one) in got and got.count((2, "")) == 2
+    assert sum(other in t for i, t in got if i == 2) == 1
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """An id has the links of all its rows: brute force over ids."""
+    base = " ".join(f"w{k}" for k in range(80))
+    other = " ".join(f"v{k}" for k in range(80))
+    rows = [(1, base), (5, base), (5, other), (7, other + " x"), (7, "alone as can be here"), (8, "alone as can be here"), (9, other + " x"), (10, ""), (5, None), (11, "one of a kind is this"), (11, "one of a kind is this")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    sets = [(i, {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} if t else set()) for i, t in rows]
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, a in sets:
+            for j, b in sets:
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert got == sorted((i, len(s), root[i]) for i, s in sets) and root[9] == 1
