@@ -35,7 +35,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose lines keep the rest (with ``n_chars``, if there, counted again); one that loses all its words goes. Null and empty texts, and rows without an
-    id, stay as they are; rows that repeat an id count as one document."""
+    id, stay as they are; rows that repeat an id with another text are documents of their own."""
     kept, _, removed = line_dedup.dedup_lines(docs)
     kept = kept.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -44,9 +44,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, with all rows that repeat it. Texts without words, and rows without an id, stay."""
-    others = ngram_join.near_duplicates(docs).where("component_id != doc_id").select(F.col("doc_id").alias("other")).distinct()
-    return docs.join(others, docs["doc_id"] == others["other"], "left_anti")
+    """Of each component the row with the smallest id stays (of equal ids one of them); rows are documents of their own even where they repeat an id. Texts without words, and
+    rows without an id, stay."""
+    (row,) = fresh(docs, "row")
+    table = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = ngram_join.near_duplicates(table.where("doc_id IS NOT NULL"), ident=row)
+    found = materialize(found.select(F.col("doc_id").alias("member"), F.col("component_id").alias("component")), "near-duplicates")
+    groups = found.where("member != component").select("component").distinct()
+    ids = table.select(F.col("doc_id").alias("id"), F.col(row).alias("member"))
+    members = found.join(groups, "component").join(ids, "member").select("component", F.struct("id", "member").alias("one"))
+    kept = members.groupBy("component").agg(F.min("one").alias("first"))
+    others = members.join(kept, "component").where("one != first").select(F.col("one.member").alias("other"))
+    return table.join(others, table[row] == others["other"], "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
