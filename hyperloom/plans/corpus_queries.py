@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.functions import sets
 from hyperloom.operators import components as comp
-from hyperloom.operators import distances, reductions, solvers, trees
+from hyperloom.operators import distances, frontier, reductions, solvers, trees
 from hyperloom.operators import incidence as inc
 from hyperloom.sources import text_formats
 from hyperloom.storage import cut
@@ -237,6 +237,28 @@ def best_separator_by_cost(spark, sf_dir):
     return comp.by_cost(comp.balanced(h, combos), costs).where("rank = 1").select("g", "s", "cost")
 
 
+@query(
+    f"{_gyo_sql(_HM, 5)}, inc AS MATERIALIZED (SELECT * FROM i5), {_BALANCED}, place AS (SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY e) - 1 AS p, count(*) OVER (PARTITION BY g) AS m FROM ed),"
+    " r AS (SELECT c.g, c.s, CASE WHEN c.e1 = c.e2 THEN a.m * (a.m - 1) // 2 + a.p ELSE b.p * (b.p - 1) // 2 + a.p END AS rank, a.m FROM cand c JOIN place a ON a.g = c.g AND a.e = c.e1 JOIN place b ON b.g = c.g AND b.e = c.e2)"
+    " SELECT r.g, min(rank) FILTER (bal.s IS NOT NULL)::BIGINT AS rank, count(*) AS candidates FROM r LEFT JOIN bal ON bal.g = r.g AND bal.s = r.s GROUP BY r.g"
+)
+def first_balanced_separator(spark, sf_dir):
+    """The smallest rank (pairs first, then single edges) of a balanced separator of each reduced graph, looking at no more blocks of ranks than it takes."""
+    problems = frontier.whole_graphs(_reduced(spark, sf_dir))
+    counts = problems.select("g", frontier.candidate_count(F.size("parts"), 2).alias("candidates"))
+    return frontier.first_balanced(problems, 2).join(counts, "g").select("g", "rank", "candidates")
+
+
+@query()
+def frontier_k2(spark, sf_dir):
+    """Trees of width 2 by separators of whole edges, all graphs and subproblems in common rounds: the verdict, the size of the tree and whether it is valid."""
+    h = _reduced(spark, sf_dir)
+    verdicts, choices, roots = frontier.solve(h, 2)
+    made = cut(frontier.trees_of(verdicts, choices, roots, 2), "trees")
+    sizes = made.groupBy("g").agg(F.count("*").alias("nodes"))
+    return verdicts.select("g", "verdict").join(sizes, "g", "left").join(trees.validate(made, h).select("g", "width", "valid"), "g", "left")
+
+
 @query(f"{_HM}, {_DEG}, w AS (SELECT g, e, sum(degree) - count(*) AS w FROM inc JOIN deg USING (g, v) GROUP BY g, e) SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY w DESC, e)::INT AS rank FROM w")
 def heuristic_degree_order(spark, sf_dir):
     return inc.edge_order(inc.corpus(spark, sf_dir), "vertex_degree")
