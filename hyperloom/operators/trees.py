@@ -58,17 +58,16 @@ def connected(tree: DataFrame) -> DataFrame:
     return _fails(_graphs(tree), nodes.join(shared, ["g", "v"], "left").where("nodes - coalesce(links, 0) != 1"), "connected")
 
 
-def ancestors(tree: DataFrame, depth: int = 10_000) -> DataFrame:
-    """(g, top, node): every node under every node, itself included; doubling, so a round for each bit of the depth."""
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(g, top, node): every node under every node, itself included; doubling, so a round for each bit of the depth, whatever it is."""
     known = cut(tree.select("g", F.col("node").alias("top"), "node").union(tree.where("parent IS NOT NULL").select("g", F.col("parent").alias("top"), "node")), "ancestors")
-    before, reach = known.count(), 1
-    while reach < depth:
+    before = known.count()
+    while True:
         known = cut(known.join(known.select("g", F.col("top").alias("node"), F.col("node").alias("low")), ["g", "node"]).select("g", "top", F.col("low").alias("node")).distinct(), "ancestors")
-        after, reach = known.count(), reach * 2
+        after = known.count()
         if after == before:
-            break
+            return known
         before = after
-    return known
 
 
 def special_condition(tree: DataFrame, inc: DataFrame) -> DataFrame:

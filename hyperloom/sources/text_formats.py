@@ -159,8 +159,21 @@ def tree_json(tree: DataFrame) -> DataFrame:
     return tree.groupBy("g").applyInPandas(one, "g long, json string")
 
 
-def tree_from_json(texts: DataFrame) -> DataFrame:
-    """(g, node, parent, bag, cover) of (g, json)."""
+def _with_ids(tree: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Bags and covers of labels to ids: by ``names`` (g, id, label, kind), or else as whole numbers. A label that is neither is an error."""
+    if names is None:
+        ids = lambda c: F.transform(c, lambda x: x.cast("long"))
+        return tree.select("g", "node", "parent", ids("bag").alias("bag"), ids("cover").alias("cover"))
+    # A tree is bound to one graph, and so is its dictionary.
+    entries = lambda kind, name: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("label", "id")))).alias(name)
+    maps = names.groupBy("g").agg(entries("V", "of_v"), entries("E", "of_e"))
+    unknown = lambda x: F.raise_error(F.concat(F.lit("no such label: "), x)).cast("long")
+    ids = lambda c, m: F.transform(c, lambda x: F.coalesce(F.try_element_at(m, x), unknown(x)))
+    return tree.join(maps, "g").select("g", "node", "parent", ids("bag", F.col("of_v")).alias("bag"), ids("cover", F.col("of_e")).alias("cover"))
+
+
+def tree_from_json(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(g, node, parent, bag, cover) of (g, json); labels become ids by ``names`` (g, id, label, kind) where it is given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -169,12 +182,12 @@ def tree_from_json(texts: DataFrame) -> DataFrame:
                 count, todo = 0, [(json.loads(text)["Root"], None)]
                 while todo:
                     node, parent = todo.pop()
-                    out.append((g, count, parent, [int(x) for x in node["Bag"] or []], [int(x) for x in node["Cover"] or []]))
+                    out.append((g, count, parent, [str(x) for x in node["Bag"] or []], [str(x) for x in node["Cover"] or []]))
                     todo += [(c, count) for c in node["Children"] or []]
                     count += 1
             yield pd.DataFrame(out, columns=["g", "node", "parent", "bag", "cover"]).astype({"parent": "Int32"})
 
-    return texts.select("g", "json").mapInPandas(run, "g long, node int, parent int, bag array<long>, cover array<long>")
+    return _with_ids(texts.select("g", "json").mapInPandas(run, "g long, node int, parent int, bag array<string>, cover array<string>"), names)
 
 
 def tree_gml(tree: DataFrame) -> DataFrame:
@@ -185,15 +198,19 @@ def tree_gml(tree: DataFrame) -> DataFrame:
     return nodes.join(links, "g", "left").select("g", F.concat(F.lit("graph [\n  directed 0\n"), F.array_join("ns.t", ""), F.coalesce(F.array_join("ls.t", ""), F.lit("")), F.lit("]\n")).alias("gml"))
 
 
-def tree_from_gml(texts: DataFrame) -> DataFrame:
-    """(g, node, parent, bag, cover) of (g, gml), whatever the order of nodes and links."""
-    node, link = r'(?s)node\s*\[\s*id\s+(\d+)\s+label\s+"\{([^}]*)\}\{([^}]*)\}"', r"(?s)edge\s*\[\s*source\s+(\d+)\s+target\s+(\d+)"
-    get = lambda pattern, k: F.regexp_extract_all("gml", F.lit(pattern), F.lit(k))
-    ints = lambda c: F.transform(F.filter(F.split(c, r",\s*"), lambda x: x != ""), lambda x: x.cast("long"))
-    nodes = texts.select("g", F.explode(F.arrays_zip(get(node, 1).alias("i"), get(node, 2).alias("c"), get(node, 3).alias("b"))).alias("x"))
-    nodes = nodes.select("g", F.col("x.i").cast("int").alias("node"), ints(F.col("x.b")).alias("bag"), ints(F.col("x.c")).alias("cover"))
-    links = texts.select("g", F.explode(F.arrays_zip(get(link, 1).alias("s"), get(link, 2).alias("t"))).alias("x")).select("g", F.col("x.t").cast("int").alias("node"), F.col("x.s").cast("int").alias("parent"))
-    return nodes.join(links, ["g", "node"], "left").select("g", "node", "parent", "bag", "cover")
+def tree_from_gml(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(g, node, parent, bag, cover) of (g, gml), whatever the order of nodes, links and their fields; labels become ids by ``names`` (g, id, label, kind) where it is
+    given. A node without a number, or whose label is not {cover}{bag}, and a link without both ends are errors."""
+    blocks = lambda word: F.regexp_extract_all("gml", F.lit(rf'\b{word}\s*\[((?:[^\]"]|"[^"]*")*)\]'), F.lit(1))
+    # Quoted text goes before numbers are looked for.
+    number = lambda field: F.regexp_extract(F.regexp_replace("x", '"[^"]*"', ""), rf"\b{field}\s+(\d+)", 1)
+    need = lambda found, what: F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit(f"{what} missing in: "), F.col("x"))))
+    label, shape = F.regexp_extract("x", r'\blabel\s+"([^"]*)"', 1), r"^\s*\{([^}]*)\}\s*\{([^}]*)\}\s*$"
+    fits = F.when(label.rlike(shape), label).otherwise(F.raise_error(F.concat(F.lit("no {cover}{bag} label in: "), F.col("x"))))
+    items = lambda k: F.filter(F.transform(F.split(F.regexp_extract(fits, shape, k), ","), lambda x: F.trim(x)), lambda x: x != "")
+    nodes = texts.select("g", F.explode(blocks("node")).alias("x")).select("g", need(number("id"), "id").cast("int").alias("node"), items(2).alias("bag"), items(1).alias("cover"))
+    links = texts.select("g", F.explode(blocks("edge")).alias("x")).select("g", need(number("target"), "target").cast("int").alias("node"), need(number("source"), "source").cast("int").alias("parent"))
+    return _with_ids(nodes.join(links, ["g", "node"], "left").select("g", "node", "parent", "bag", "cover"), names)
 
 
 def tree_lines(tree: DataFrame) -> DataFrame:

@@ -171,3 +171,31 @@ def test_costs_without_an_edge_are_errors(spark):
     names = spark.createDataFrame([("n", 1, "A", "E")], "name string, id long, label string, kind string")
     with pytest.raises(Exception, match="a cost without an edge"):
         text_formats.read_costs(spark.createDataFrame([("n", "A,2.5\n7")], "name string, text string"), names).collect()
+
+
+def test_gml_and_json_of_labels_in_any_order(spark):
+    """Fields in any order, blanks between braces, labels by a dictionary, and errors for what does not parse."""
+    gml = """graph [
+      node [ label "{R, S} {a, b}" id 7 ]
+      edge [ target 9 source 7 ]
+      node [
+        id 9
+        label "{S}{ b,c }"
+      ]
+    ]"""
+    json_text = '{"Root":{"Bag":["a","b"],"Cover":["R","S"],"Children":[{"Bag":["b","c"],"Cover":["S"],"Children":null}]}}'
+    names = spark.createDataFrame([(1, i, x, "V") for i, x in enumerate("abc", 1)] + [(1, i, x, "E") for i, x in enumerate("RS", 4)], "g long, id long, label string, kind string")
+    texts = spark.createDataFrame([(1, gml, json_text)], "g long, gml string, json string")
+    want = [(1, 0, None, [1, 2], [4, 5]), (1, 1, 0, [2, 3], [5])]
+    assert sorted(tuple(r) for r in text_formats.tree_from_json(texts, names).collect()) == want
+    moved = {None: None, 0: 7, 1: 9}
+    assert sorted(tuple(r) for r in text_formats.tree_from_gml(texts, names).collect()) == [(g, moved[n], moved[p], b, c) for g, n, p, b, c in want]
+    for bad in (gml.replace("id 9", ""), gml.replace("{S}{ b,c }", "{S} b"), gml.replace("source 7", ""), gml.replace("b,c", "b,q")):
+        with pytest.raises(Exception, match="missing|no "):
+            text_formats.tree_from_gml(spark.createDataFrame([(1, bad)], "g long, gml string"), names).collect()
+
+
+def test_ancestors_of_deep_lines(spark):
+    """Every pair, past any power of two."""
+    tree = spark.range(1, 300).selectExpr("1L AS g", "int(id) AS node", "CASE WHEN id > 1 THEN int(id - 1) END AS parent", "array(id) AS bag", "array(id) AS cover")
+    assert trees.ancestors(tree).count() == 299 * 300 // 2
