@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperloom.functions.sets import balance_limit, powerset
@@ -77,19 +77,53 @@ def whole(inc: DataFrame) -> DataFrame:
     return components(inc, names.select("g", "s", F.lit(None).cast("long").alias("v")).limit(0), names)
 
 
-def covers(inc: DataFrame, conn: DataFrame, most: int = 2) -> DataFrame:
-    """(g, s, size): sets of at most ``most`` edges touching ``conn`` (g, v) that cover all of it, each edge touching it."""
-    touching = inc.join(conn, ["g", "v"], "left_semi")
-    combos = edge_combinations(touching, most)
-    wanted = conn.groupBy("g").agg(F.count("*").alias("wanted"))
-    hit = combos.join(touching, ["g", "e"]).groupBy("g", "s").agg(F.count_distinct("v").alias("covered"), F.count_distinct("e").alias("size"))
-    return hit.join(wanted, "g").where("covered = wanted").select("g", "s", "size")
+def cover_levels(inc: DataFrame, conn: DataFrame, most: int = 2, beyond: bool = True, component: DataFrame | None = None) -> list[DataFrame]:
+    """One frame (g, chosen, left, pos, inner) for each number of edges from 1 to ``most``: chosen edges of those that touch ``conn`` (g, v), in order of falling weight (vertices of conn in the edge; then by id),
+    and the vertices of conn that they leave.
+
+    With r edges still to choose, the next one at position p, no choice covers more than the sum of the r weights from p on. These windowed sums fall along the positions, so for each number of
+    vertices left there is a last position to go on with; the join makes rows up to there and none beyond. Without ``beyond`` a set that covers is not extended. With ``component`` (g, v)
+    an edge with a vertex of it outside conn has to be chosen (``inner``).
+    """
+    conn = conn.select("g", "v").distinct()
+    rows = inc.select("g", "e", "v").distinct()
+    hits = rows.join(conn, ["g", "v"], "left_semi").groupBy("g", "e").agg(F.array_sort(F.collect_list("v")).alias("hits"))
+    if component is None:
+        hits = hits.withColumn("in", F.lit(True))
+    else:
+        reached = rows.join(component.select("g", "v").distinct(), ["g", "v"], "left_semi").join(conn, ["g", "v"], "left_anti").select("g", "e").distinct()
+        hits = hits.join(reached.withColumn("in", F.lit(True)), ["g", "e"], "left").withColumn("in", F.coalesce("in", F.lit(False)))
+    order = Window.partitionBy("g").orderBy(F.desc(F.size("hits")), "e")
+    edges = cut(hits.withColumn("at", F.row_number().over(order)), "cover-edges")
+    wanted = conn.groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("left"))
+    level = wanted.select("g", F.expr("CAST(array() AS array<bigint>)").alias("chosen"), "left", F.lit(0).alias("pos"), F.lit(component is None).alias("inner"))
+    out = []
+    for r in range(most, 0, -1):
+        sums = edges.select("g", "at", F.sum(F.size("hits")).over(Window.partitionBy("g").orderBy("at").rowsBetween(0, r - 1)).alias("bound"))
+        steps = sums.groupBy("g", "bound").agg(F.max("at").alias("until"))
+        lower = F.coalesce(F.lag("bound").over(Window.partitionBy("g").orderBy("bound")) + 1, F.lit(0))
+        limits = steps.withColumn("lower", lower).select("g", "until", F.explode(F.sequence("lower", "bound")).alias("n"))
+        going = (level if beyond else level.where("size(left) > 0")).withColumn("n", F.size("left").cast("long"))
+        reach = going.join(limits, ["g", "n"]).where("pos < until").withColumn("at", F.explode(F.expr("sequence(pos + 1, until)")))
+        joined = reach.join(edges, ["g", "at"])
+        if r == 1:
+            joined = joined.where(F.col("inner") | F.col("in"))
+        level = cut(joined.select("g", F.array_append("chosen", F.col("e")).alias("chosen"), F.array_except("left", "hits").alias("left"), F.col("at").alias("pos"), (F.col("inner") | F.col("in")).alias("inner")), "covers")
+        out.append(level)
+    return out
+
+
+def covers(inc: DataFrame, conn: DataFrame, most: int = 2, beyond: bool = True, component: DataFrame | None = None) -> DataFrame:
+    """(g, s, size): sets of at most ``most`` edges touching ``conn`` (g, v) that cover all of it, each edge touching it; see ``cover_levels``."""
+    levels = cover_levels(inc, conn, most, beyond, component)
+    every = levels[0]
+    for frame in levels[1:]:
+        every = every.union(frame)
+    return every.where("size(left) = 0 AND inner").select("g", F.array_join(F.array_sort("chosen"), ",").alias("s"), F.size("chosen").cast("long").alias("size"))
 
 
 def by_cost(found: DataFrame, costs: DataFrame) -> DataFrame:
     """(g, s, cost, rank) of separators, cheapest first; a separator without a cost is an error."""
-    from pyspark.sql import Window
-
     joined = found.join(costs, ["g", "s"], "left").withColumn("cost", F.when(F.col("cost").isNull(), F.raise_error(F.concat(F.lit("no cost for separator "), "s")).cast("double")).otherwise(F.col("cost")))
     return joined.select("g", "s", "cost", F.row_number().over(Window.partitionBy("g").orderBy("cost", "s")).alias("rank"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperloom.operators.incidence import vertex_degree
+from hyperloom.operators.incidence import edge_lists, vertex_degree
+from hyperloom.operators.trees import bag_rows
 from hyperloom.storage import cut, until_stable
 
 
@@ -76,6 +77,59 @@ def gyo(inc: DataFrame) -> DataFrame:
     return until_stable(gyo_step(rows, True), lambda rows: gyo_step(rows, False), "gyo")
 
 
+def gyo_logged(inc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``gyo``'s residue, and its log (g, e, parent) of each edge removed: an edge that held what was left of it then and stays for that round, or null where nothing was left to share.
+
+    Vertices need no rows: an edge lost those that ``inc`` has and the residue has not.
+    """
+    rows, whole, log = cut(inc.select("g", "e", "v").distinct(), "rows"), True, None
+    before = rows.count()
+    while True:
+        parts = cut(shared_parts(rows, whole), "shared-parts")
+        # Holding is transitive, so the largest holder is in none itself.
+        held = inside_others(parts).groupBy("g", "e").agg(F.max(F.struct(F.size("vs2").alias("n"), "more", "e2"))["e2"].alias("parent"))
+        alone = rows.select("g", "e").distinct().join(parts, ["g", "e"], "left_anti").withColumn("parent", F.lit(None).cast("long"))
+        gone = cut(held.union(alone), "gyo-log")
+        log = gone if log is None else log.union(gone)
+        rows = cut(parts.join(gone, ["g", "e"], "left_anti").select("g", "e", F.explode("vs").alias("v")), "gyo")
+        after = rows.count()
+        if after == before and not whole:
+            return rows, cut(log, "gyo-log")
+        before, whole = after, False
+
+
+def undo_gyo(tree: DataFrame, inc: DataFrame, residue: DataFrame, log: DataFrame) -> DataFrame:
+    """Trees of ``inc`` from trees of the residue, both (g, node, parent, bag, cover): the log undone in one plan, whatever its number of rounds.
+
+    Each edge has a node in the end that holds all its vertices. For an edge of the residue that is a node with the residual edge, whose bag takes up the lost vertices if its cover has the edge; else
+    a leaf below it has them. A removed edge is a leaf below the node of its parent, and one without a parent hangs from the root. What an edge shared when it was removed
+    is in its parent, so each vertex keeps one subtree; new nodes have one edge as cover, so the width grows to 1 at most. Where the residue is empty a join tree arises from the log alone.
+    Graphs with a residue but without a tree, or with a tree that does not hold some residual edge, have no rows.
+    """
+    own = edge_lists(inc)
+    size = residue.groupBy("g", "e").agg(F.count_distinct("v").alias("n"))
+    holding = residue.select("g", "e", "v").distinct().join(bag_rows(tree), ["g", "v"]).groupBy("g", "e", "node").agg(F.count("*").alias("m")).join(size, ["g", "e"]).where("m = n")
+    named = tree.select("g", "node", F.explode("cover").alias("e")).distinct().withColumn("named", F.lit(True))
+    home = holding.join(named, ["g", "node", "e"], "left").groupBy("g", "e").agg(F.min(F.struct(F.col("named").isNull().alias("bare"), "node")).alias("x")).select("g", "e", "x.bare", "x.node")
+    kept = cut(size.join(home, ["g", "e"], "left").join(own, ["g", "e"]).select("g", "e", "node", "bare", "vertices", (F.size("vertices") > F.col("n")).alias("lost")), "residual-edges")
+    lacking = kept.where("node IS NULL").select("g").distinct()
+    tree = cut(tree.join(lacking, "g", "left_anti").join(kept.select("g"), "g", "left_semi").select("g", F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("parent"), "bag", "cover"), "residual-trees")
+    kept = kept.join(lacking, "g", "left_anti")
+    gone = log.join(lacking, "g", "left_anti").select("g", "e", "parent", F.lit(None).cast("int").alias("below"))
+    fresh = gone.union(kept.where("lost AND bare").select("g", "e", F.lit(None).cast("long"), F.col("node").cast("int")))
+    tops = tree.groupBy("g").agg(F.max("node").alias("top"), F.min(F.when(F.col("parent").isNull(), F.col("node"))).alias("root"))
+    # Edges without a parent come first, so that the first of them is the root where the residue is empty.
+    order = Window.partitionBy("g").orderBy(F.desc(F.col("parent").isNull() & F.col("below").isNull()), "e")
+    leaves = fresh.withColumn("pos", F.row_number().over(order)).join(tops, "g", "left").withColumn("node", F.coalesce(F.col("top") + F.col("pos"), F.col("pos") - 1).cast("int"))
+    leaves = cut(leaves.select("g", "e", "node", "parent", "below", F.coalesce("root", F.lit(0)).alias("root")), "leaves")
+    places = leaves.select("g", F.col("e").alias("parent"), F.col("node").alias("place")).union(kept.where("NOT (lost AND bare)").select("g", "e", F.col("node").cast("int")))
+    up = F.when(F.col("parent").isNotNull(), F.col("place")).when(F.col("below").isNotNull(), F.col("below")).when(F.col("node") != F.col("root"), F.col("root"))
+    new = leaves.join(places, ["g", "parent"], "left").join(own, ["g", "e"]).select("g", "node", up.alias("parent"), F.col("vertices").alias("bag"), F.array("e").alias("cover"))
+    more = kept.where("lost AND NOT bare").groupBy("g", F.col("node").cast("int").alias("node")).agg(F.flatten(F.collect_list("vertices")).alias("more"))
+    grown = tree.join(more, ["g", "node"], "left").select("g", "node", "parent", F.when(F.col("more").isNotNull(), F.array_sort(F.array_union("bag", "more"))).otherwise(F.col("bag")).alias("bag"), "cover")
+    return grown.union(new)
+
+
 def acyclic(inc: DataFrame, residue: DataFrame) -> DataFrame:
     left = residue.groupBy("g").agg(F.count_distinct("e").alias("n"))
     return inc.select("g").distinct().join(left, "g", "left").select("g", F.col("n").isNull().alias("is_acyclic"), F.coalesce("n", F.lit(0)).alias("residual_edges"))

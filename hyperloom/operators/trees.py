@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperloom.storage import cut
@@ -70,11 +70,41 @@ def ancestors(tree: DataFrame) -> DataFrame:
         before = after
 
 
+def intervals(tree: DataFrame) -> DataFrame:
+    """(g, node, first, last, depth): nodes numbered from 0 in preorder, those below a node from first + 1 to last; siblings and roots by id.
+
+    A list ranking of the tour that enters and leaves each node: every event points to the next one, pointers double, and the entries up to the end are summed on the way. So there are two rows a
+    node and a round for each bit of their number, however deep a tree is. Parents in a circle are an error.
+    """
+    kids = tree.where("parent IS NOT NULL").groupBy("g", F.col("parent").alias("node")).agg(F.min("node").alias("kid"))
+    beside = tree.select("g", "node", "parent", F.lead("node").over(Window.partitionBy("g", "parent").orderBy("node")).alias("sibling"))
+    enter, leave = (lambda c: F.col(c).cast("long") * 2), (lambda c: F.col(c).cast("long") * 2 + 1)
+    enters = tree.select("g", "node").join(kids, ["g", "node"], "left").select("g", enter("node").alias("at"), F.coalesce(enter("kid"), leave("node")).alias("next"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("d"))
+    leaves = beside.select("g", leave("node").alias("at"), F.coalesce(enter("sibling"), leave("parent")).alias("next"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"))
+    tour, before = cut(enters.union(leaves), "tour"), None
+    while True:
+        open_ = tour.where("next IS NOT NULL").count()
+        if not open_:
+            break
+        if open_ == before:
+            raise ValueError("parents of a tree go round in a circle")
+        ahead = tour.select("g", F.col("at").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"), F.col("d").alias("deeper"))
+        joined = tour.join(ahead, ["g", "next"], "left")
+        tour = cut(joined.select("g", "at", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("deeper", F.lit(0))).alias("d")), "tour")
+        before = open_
+    sums = tour.groupBy("g", F.expr("floor(at / 2)").alias("at")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("n"))).alias("own"), F.max(F.when(F.col("at") % 2 != 0, F.col("n"))).alias("rest"), F.max(F.when(F.col("at") % 2 == 0, -F.col("d"))).alias("depth"))
+    total = tree.groupBy("g").agg(F.count("*").alias("nodes"))
+    numbers = sums.join(total, "g").select("g", F.col("at").alias("node"), (F.col("nodes") - F.col("own")).alias("first"), (F.col("nodes") - F.col("rest") - 1).alias("last"), F.col("depth").cast("int").alias("depth"))
+    return cut(numbers.withColumn("node", F.col("node").cast(tree.schema["node"].dataType)), "intervals")
+
+
 def special_condition(tree: DataFrame, inc: DataFrame) -> DataFrame:
-    """Cover vertices missing from a node's bag do not occur below it."""
-    missing = cover_rows(tree, inc).join(bag_rows(tree), ["g", "node", "v"], "left_anti")
-    below = ancestors(tree).join(bag_rows(tree), ["g", "node"]).select("g", F.col("top").alias("node"), "v").distinct()
-    return _fails(_graphs(tree), missing.join(below, ["g", "node", "v"], "left_semi"), "special_condition")
+    """Cover vertices missing from a node's bag do not occur below it: the next number of a node with the vertex is past the interval of the node that misses it."""
+    spans = intervals(tree)
+    missing = cover_rows(tree, inc).join(bag_rows(tree), ["g", "node", "v"], "left_anti").join(spans, ["g", "node"]).select("g", "v", "first", "last")
+    there = bag_rows(tree).join(spans, ["g", "node"]).select("g", "v", "first", F.lit(None).cast("long").alias("last"))
+    after = F.min(F.when(F.col("last").isNull(), F.col("first"))).over(Window.partitionBy("g", "v").orderBy(F.desc("first")).rowsBetween(Window.unboundedPreceding, 0))
+    return _fails(_graphs(tree), missing.union(there).withColumn("after", after).where("after <= last"), "special_condition")
 
 
 def validate(tree: DataFrame, inc: DataFrame) -> DataFrame:
@@ -85,7 +115,9 @@ def validate(tree: DataFrame, inc: DataFrame) -> DataFrame:
 
 def reroot(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """The trees with (g, node) of ``roots`` as roots: parents along the way to the old root turn round."""
-    way = ancestors(tree).join(roots.select("g", "node"), ["g", "node"]).select("g", F.col("top").alias("node"))
+    spans = intervals(tree)
+    wanted = spans.join(roots.select("g", "node"), ["g", "node"], "left_semi").select("g", F.col("first").alias("at"))
+    way = spans.join(wanted, "g").where("at BETWEEN first AND last").select("g", "node")
     turned = tree.join(way, ["g", "node"], "left_semi").where("parent IS NOT NULL").select("g", F.col("parent").alias("node"), F.col("node").alias("new"))
     flagged = tree.join(way.withColumn("on", F.lit(True)), ["g", "node"], "left").join(turned, ["g", "node"], "left")
     return flagged.select("g", "node", F.when(F.col("on"), F.col("new")).otherwise(F.col("parent")).alias("parent"), "bag", "cover")

@@ -251,12 +251,14 @@ def first_balanced_separator(spark, sf_dir):
 
 @query()
 def frontier_k2(spark, sf_dir):
-    """Trees of width 2 by separators of whole edges, all graphs and subproblems in common rounds: the verdict, the size of the tree and whether it is valid."""
-    h = _reduced(spark, sf_dir)
-    verdicts, choices, roots = frontier.solve(h, 2)
-    made = cut(frontier.trees_of(verdicts, choices, roots, 2), "trees")
+    """Trees of width 2 by separators of whole edges, all graphs and subproblems in common rounds: reduction, search, and the reduction undone. The verdict, the size of the whole graph's tree and whether it is valid."""
+    h = cut(inc.corpus(spark, sf_dir), "graphs")
+    residue, log = reductions.gyo_logged(h)
+    verdicts, choices, roots = frontier.solve(residue, 2)
+    made = cut(reductions.undo_gyo(cut(frontier.trees_of(verdicts, choices, roots, 2), "trees"), h, residue, log), "trees")
     sizes = made.groupBy("g").agg(F.count("*").alias("nodes"))
-    return verdicts.select("g", "verdict").join(sizes, "g", "left").join(trees.validate(made, h).select("g", "width", "valid"), "g", "left")
+    said = h.select("g").distinct().join(verdicts, "g", "left").select("g", F.coalesce("verdict", F.lit("yes")).alias("verdict"))
+    return said.join(sizes, "g", "left").join(trees.validate(made, h).select("g", "width", "valid"), "g", "left")
 
 
 @query(f"{_HM}, {_DEG}, w AS (SELECT g, e, sum(degree) - count(*) AS w FROM inc JOIN deg USING (g, v) GROUP BY g, e) SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY w DESC, e)::INT AS rank FROM w")
@@ -302,6 +304,19 @@ def cover_enumeration(spark, sf_dir):
     return comp.covers(h, inc.separator_vertices(h, inc.lowest_edges(h, 1)))
 
 
+@query(
+    f"{_HM}, {_POS}, conn AS (SELECT DISTINCT g, v FROM inc JOIN pos USING (g, e) WHERE p <= 2), w AS (SELECT g, bit_or(1 << v) AS want FROM conn GROUP BY g),"
+    " t AS (SELECT g, e, bit_or(1 << v) AS m, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, e) AS pl FROM inc SEMI JOIN conn USING (g, v) GROUP BY g, e),"
+    " c1 AS (SELECT g, [e] AS es, m, pl FROM t), c2 AS (SELECT g, list_append(es, t.e) AS es, c.m | t.m AS m, t.pl FROM c1 c JOIN w USING (g) JOIN t USING (g) WHERE t.pl > c.pl AND c.m != want),"
+    " c3 AS (SELECT g, list_append(es, t.e) AS es, c.m | t.m AS m, t.pl FROM c2 c JOIN w USING (g) JOIN t USING (g) WHERE t.pl > c.pl AND c.m != want)"
+    " SELECT g, array_to_string(list_sort(es), ',') AS s, len(es) AS size FROM (FROM c1 UNION ALL FROM c2 UNION ALL FROM c3) JOIN w USING (g) WHERE m = want"
+)
+def ordered_covers(spark, sf_dir):
+    """Covers of the two lowest edges' vertices by at most three edges, heaviest edges first, each stopping at the edge that completes it."""
+    h = cut(inc.corpus(spark, sf_dir), "graphs")
+    return comp.covers(h, inc.separator_vertices(h, inc.lowest_edges(h, 2)), 3, beyond=False)
+
+
 @query(f"{_HM}, l AS (SELECT g, e, string_agg('V' || v, ', ' ORDER BY v) AS vs FROM inc GROUP BY g, e) SELECT g, string_agg('E' || e || ' (' || vs || ')', ',' || chr(10) ORDER BY e) || '.' AS text FROM l GROUP BY g")
 def hyperbench_export(spark, sf_dir):
     return text_formats.to_hyperbench(inc.corpus(spark, sf_dir))

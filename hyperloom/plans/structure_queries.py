@@ -114,14 +114,14 @@ _BROKEN = (
 )
 
 
-def _chain(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _chain(spark, sf_dir, parent: str = "pos - 1") -> tuple[DataFrame, DataFrame]:
     h = inc.corpus(spark, sf_dir)
     nodes = inc.edge_lists(h).join(inc.positions(h), ["g", "e"])
-    return h, nodes.select("g", F.col("pos").cast("int").alias("node"), F.expr("CASE WHEN pos > 1 THEN CAST(pos - 1 AS INT) END").alias("parent"), F.col("vertices").alias("bag"), F.array("e").alias("cover"))
+    return h, nodes.select("g", F.col("pos").cast("int").alias("node"), F.expr(f"CASE WHEN pos > 1 THEN CAST({parent} AS INT) END").alias("parent"), F.col("vertices").alias("bag"), F.array("e").alias("cover"))
 
 
-def _broken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    h, tree = _chain(spark, sf_dir)
+def _broken(spark, sf_dir, parent: str = "pos - 1") -> tuple[DataFrame, DataFrame]:
+    h, tree = _chain(spark, sf_dir, parent)
     bag = F.expr("CASE WHEN g % 2 = 0 AND node % 5 = 0 THEN slice(bag, 2, size(bag)) WHEN g % 3 = 0 AND node % 7 = 0 THEN array_append(bag, 99L) ELSE bag END")
     return h, tree.withColumns({"bag": bag, "cover": F.expr("CASE WHEN g % 11 = 0 AND node = 2 THEN array(-1L) ELSE cover END")})
 
@@ -205,6 +205,76 @@ def subedges_restored(spark, sf_dir):
     return trees.restore_subedges(parts, h).select("g", "node", F.col("e").alias("cover"))
 
 
+# --- trees where the node n has the children 2n and 2n + 1 ---
+
+_HEAP, _BROKEN_HEAP = (text.replace("p - 1 END AS parent", "p // 2 END AS parent") for text in (_CHAIN, _BROKEN))
+_ABOVE = "k AS (SELECT unnest(range(0, 40)) AS k), up AS (SELECT g, node, node >> k AS top, k FROM ch, k WHERE node >> k > 0)"
+
+
+@query(
+    f"{_HM}, {_BROKEN_HEAP}, {_ABOVE}, f1 AS (SELECT DISTINCT g FROM bv ANTI JOIN cv USING (g, node, v)), f2 AS (SELECT DISTINCT g FROM br WHERE e = -1),"
+    " hold AS (SELECT DISTINCT i.g, i.e FROM (SELECT g, e, list(v) AS vs FROM inc GROUP BY g, e) i JOIN br ON br.g = i.g AND list_has_all(br.bag, i.vs)), f3 AS (SELECT DISTINCT g FROM (SELECT DISTINCT g, e FROM inc) ANTI JOIN hold USING (g, e)),"
+    " f4 AS (SELECT DISTINCT g FROM (SELECT a.g, a.v, count(*) FILTER (b.v IS NULL) AS tops FROM bv a LEFT JOIN bv b ON b.g = a.g AND b.v = a.v AND b.node = a.node // 2 GROUP BY ALL) WHERE tops != 1),"
+    " f5 AS (SELECT DISTINCT m.g FROM (SELECT * FROM cv ANTI JOIN bv USING (g, node, v)) m JOIN up ON up.g = m.g AND up.top = m.node AND up.k > 0 JOIN bv ON bv.g = m.g AND bv.v = m.v AND bv.node = up.node),"
+    " t AS (SELECT g, 1 AS width, g NOT IN (FROM f1) AS bags_covered, g NOT IN (FROM f2) AS covers_known, g NOT IN (FROM f3) AS edges_in_bags, g NOT IN (FROM f4) AS connected, g NOT IN (FROM f5) AS special_condition FROM (SELECT DISTINCT g FROM br))"
+    " SELECT *, bags_covered AND covers_known AND edges_in_bags AND connected AS valid FROM t"
+)
+def branching_checks(spark, sf_dir):
+    h, tree = _broken(spark, sf_dir, "pos DIV 2")
+    return trees.validate(cut(tree, "tree"), h)
+
+
+@query(f"{_HM}, {_HEAP}, {_ABOVE}, n AS (SELECT g, top AS node, count(*) AS below FROM up GROUP BY g, top), d AS (SELECT g, node, max(k)::INT AS depth FROM up GROUP BY g, node) SELECT g, node, depth, below FROM n JOIN d USING (g, node)")
+def branching_intervals(spark, sf_dir):
+    """Depth and number of nodes below, the node itself included, from the preorder numbers."""
+    _, tree = _chain(spark, sf_dir, "pos DIV 2")
+    return trees.intervals(cut(tree, "tree")).select("g", "node", "depth", F.expr("last - first + 1").alias("below"))
+
+
+@query(
+    f"{_HM}, {_HEAP}, {_ABOVE}, m AS (SELECT g, max(node) AS r FROM ch GROUP BY g), way AS (SELECT g, top AS node, r >> (k - 1) AS new FROM up JOIN m USING (g) WHERE node = r AND k > 0)"
+    " SELECT g, node, CASE WHEN new IS NOT NULL THEN new WHEN node < r THEN parent END AS parent FROM ch JOIN m USING (g) LEFT JOIN way USING (g, node)"
+)
+def branching_reroot(spark, sf_dir):
+    """The last node becomes the root."""
+    _, tree = _chain(spark, sf_dir, "pos DIV 2")
+    tree = cut(tree, "tree")
+    return trees.reroot(tree, tree.groupBy("g").agg(F.max("node").alias("node"))).select("g", "node", "parent")
+
+
+@query(
+    f"{_HM}, {_HEAP}, go AS (SELECT g, node, CAST(NULL AS BIGINT) AS parent, node AS kept, bag FROM ch WHERE node = 1 UNION ALL SELECT c.g, c.node, go.kept, CASE WHEN list_has_all(go.bag, c.bag) THEN go.kept ELSE c.node END, CASE WHEN list_has_all(go.bag, c.bag) THEN go.bag ELSE c.bag END"
+    " FROM go JOIN ch c ON c.g = go.g AND c.node // 2 = go.node) SELECT g, node, parent FROM go WHERE node = kept"
+)
+def branching_prune(spark, sf_dir):
+    _, tree = _chain(spark, sf_dir, "pos DIV 2")
+    return trees.prune(cut(tree, "tree")).select("g", "node", "parent")
+
+
+@query(f"{_HM}, {_HEAP}, {_ABOVE}, d AS (SELECT g, node, max(k) AS depth FROM up GROUP BY g, node) SELECT g, node, repeat(chr(9), depth) || 'Bag: {{' || array_to_string(bag, ', ') || '}} Cover: {{' || e || '}}' AS text FROM ch JOIN d USING (g, node)")
+def branching_text(spark, sf_dir):
+    _, tree = _chain(spark, sf_dir, "pos DIV 2")
+    return text_formats.tree_lines(cut(tree, "tree"))
+
+
+@query(
+    f"{_HM}, {_TYPES}, "
+    + _gyo_sql("inc AS (SELECT inc.* FROM inc SEMI JOIN (SELECT g, rep AS v FROM mem) r USING (g, v))", 7)
+    + ", m AS (SELECT g, count(DISTINCT e) AS m FROM inc GROUP BY g), n AS (SELECT g, count(DISTINCT e) AS n FROM i7 GROUP BY g)"
+    " SELECT g, greatest(1, coalesce(n, 0))::INT AS width, m - coalesce(n, 0) + (n IS NOT NULL)::INT AS nodes, true AS bags_covered, true AS covers_known, true AS edges_in_bags, true AS connected, true AS special_condition, true AS valid FROM m LEFT JOIN n USING (g)"
+)
+def reduction_undone(spark, sf_dir):
+    """Type collapse, reduction, one node for the residue, the reduction undone and the types back: a valid tree of the whole graph, a join tree where the residue is empty."""
+    h = cut(inc.corpus(spark, sf_dir), "graphs")
+    kept, members = reductions.type_collapse(h)
+    kept = cut(kept, "representatives")
+    residue, log = reductions.gyo_logged(kept)
+    one = residue.groupBy("g").agg(F.array_sort(F.collect_set("v")).alias("bag"), F.array_sort(F.collect_set("e")).alias("cover"))
+    tree = one.select("g", F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), "bag", "cover")
+    whole = cut(trees.restore_types_in_bags(reductions.undo_gyo(tree, kept, residue, log), members), "tree")
+    return trees.validate(whole, h).join(whole.groupBy("g").agg(F.count("*").alias("nodes")), "g")
+
+
 _VALID = "ok AS (SELECT g, bool_and(k) AS valid FROM (SELECT g, v, max(node) - min(node) + 1 = count(*) AS k FROM (SELECT g, node, unnest(bag) AS v FROM ch) GROUP BY g, v) GROUP BY g)"
 _GML = (
     "tx AS (SELECT g, 'graph [' || chr(10) || '  directed 0' || chr(10) || string_agg('  node [' || chr(10) || '    id ' || node || chr(10) || '    label \"{' || e || '}{' || array_to_string(bag, ', ') || '}\"' || chr(10) || '  ]' || chr(10), '' ORDER BY node)"

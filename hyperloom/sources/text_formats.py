@@ -215,8 +215,8 @@ def tree_from_gml(texts: DataFrame, names: DataFrame | None = None) -> DataFrame
 
 def tree_lines(tree: DataFrame) -> DataFrame:
     """(g, node, text): a line for each node, indented by its depth."""
-    from hyperloom.operators.trees import ancestors
+    from hyperloom.operators.trees import intervals
 
-    depth = ancestors(tree).groupBy("g", "node").agg((F.count("*") - 1).cast("int").alias("depth"))
+    depth = intervals(tree).select("g", "node", "depth")
     text = F.concat(F.repeat(F.lit("\t"), F.col("depth")), F.lit("Bag: {"), F.array_join("bag", ", "), F.lit("} Cover: {"), F.array_join("cover", ", "), F.lit("}"))
     return tree.join(depth, ["g", "node"]).select("g", "node", text.alias("text"))
