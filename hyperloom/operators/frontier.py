@@ -78,17 +78,24 @@ def _largest(n: Column, j: int, most: Column) -> Column:
     return F.array_max(F.filter(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda c: choose(c, j) <= most))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _places(left: Column, n: Column, j: int) -> Column:
+    """Positions from 0 of the set of j of rank ``left``; the last to find is what remains itself."""
+    if j == 1:
+        return F.array(left)
+    return _let(_largest(n, j, left), lambda at: F.array_append(_places(left - choose(at, j), n, j - 1), at))
+
+
 def unrank(rank: Column, n: Column, k: int) -> Column:
     """Positions from 0 of the candidate of a rank: all sets of k in colexicographic order, then of k - 1, down to 1."""
     found = F.expr("CAST(NULL AS array<bigint>)")
     for m in range(1, k + 1):
         before = sum((choose(n, j) for j in range(k, m, -1)), F.lit(0).cast("long"))
-        left, places = rank - before, []
-        for j in range(m, 0, -1):
-            at = _largest(n, j, left)
-            places.append(at)
-            left = left - choose(at, j)
-        found = F.when((rank >= before) & (rank < before + choose(n, m)), F.array(*reversed(places))).otherwise(found)
+        found = F.when((rank >= before) & (rank < before + choose(n, m)), _places(rank - before, n, m)).otherwise(found)
     return found
 
 
@@ -107,9 +114,9 @@ def cut_parts(problems: DataFrame, graphs: DataFrame, subedges: bool = False) ->
     return cuts.withColumn("parts", F.expr(firsts)).drop("whole", "inside", "cuts")
 
 
-def separator_of(k: int) -> tuple[Column, Column]:
+def separator_of(k: int, rank: Column) -> tuple[Column, Column]:
     """Vertices and edge ids of the candidate ``rank`` of ``parts``."""
-    chosen = F.transform(unrank(F.col("rank"), F.size("parts"), k), lambda p: F.get(F.col("parts"), p.cast("int")))
+    chosen = F.transform(unrank(rank, F.size("parts"), k), lambda p: F.get(F.col("parts"), p.cast("int")))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(chosen, lambda x: x["vs"])))), F.array_distinct(F.transform(chosen, lambda x: x["e"]))
 
 
@@ -125,8 +132,10 @@ def balanced_blocks(problems: DataFrame, k: int, factor: int = 2) -> DataFrame:
         starts = open_.where("low < until").withColumn("start", F.explode(F.sequence("low", end - 1, F.lit(CHUNK).cast("long")))).withColumn("end", end)
         if done is not None:
             starts = starts.repartition("g", "key", "start")
-        ranks = starts.withColumn("rank", F.explode(F.sequence("start", F.least(F.col("start") + CHUNK, F.col("end")) - 1)))
-        tried = ranks.withColumn("separator", separator_of(k)[0]).withColumn("sizes", F.transform(parts_of("edges", "specials", "separator"), lambda c: F.size(c["es"]) + F.size(c["ss"])))
+        # Separators come out of the explosion, as a condition on columns would be moved below them and work them out again for each part; the outer form adds no condition of its own.
+        chunk = F.sequence("start", F.least(F.col("start") + CHUNK, F.col("end")) - 1)
+        ranks = starts.withColumn("x", F.explode_outer(F.transform(chunk, lambda r: F.struct(r.alias("rank"), separator_of(k, r)[0].alias("separator"))))).select("*", "x.rank", "x.separator").drop("x")
+        tried = ranks.withColumn("sizes", F.transform(parts_of("edges", "specials", "separator"), lambda c: F.size(c["es"]) + F.size(c["ss"])))
         limit = F.expr(f"(size(edges) + size(specials)) * {factor - 1} DIV {factor}")
         fit = tried.where((F.coalesce(F.array_max("sizes"), F.lit(0)) <= limit) & ~F.array_contains("specials", F.col("separator")))
         hits = fit.groupBy("g", "key", "separator").agg(F.min("rank").alias("rank")).groupBy("g", "key").agg(F.collect_list(F.struct("rank", "separator")).alias("hits"))
@@ -173,7 +182,7 @@ def solve(inc: DataFrame, k: int, subedges: bool = False, waves: int = 1_000) ->
             blocks = balanced_blocks(idle, k)
             hits = idle.join(blocks.where("hits IS NOT NULL"), ["g", "key"])
             chosen = hits.withColumn("hit", F.explode("hits")).select("*", "hit.rank", "hit.separator").drop("hit", "hits")
-            found = chosen.withColumn("cover", separator_of(k)[1])
+            found = chosen.withColumn("cover", separator_of(k, F.col("rank"))[1])
             pieces = found.withColumn("pieces", parts_of("edges", "specials", "separator")).select("g", "key", "rank", "separator", "cover", "edges", F.explode_outer("pieces").alias("piece"))
             own = pieces.withColumn("edges", F.expr("filter(edges, x -> array_contains(piece.es, x.e))")).withColumnRenamed("key", "above")
             own = own.withColumn("specials", F.expr("array_sort(array_distinct(array_append(piece.ss, separator)))"))
