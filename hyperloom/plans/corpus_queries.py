@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.functions import sets
 from hyperloom.operators import components as comp
-from hyperloom.operators import distances, frontier, reductions, solvers, trees
+from hyperloom.operators import distances, frontier, hinges, reductions, solvers, trees
 from hyperloom.operators import incidence as inc
 from hyperloom.sources import text_formats
 from hyperloom.storage import cut
@@ -276,11 +276,6 @@ def primal_distance(spark, sf_dir):
     return distances.primal_distances(inc.corpus(spark, sf_dir))
 
 
-@query()
-def max_separator_order(spark, sf_dir):
-    return distances.max_separator_order(_reduced(spark, sf_dir))
-
-
 @query(f"{_HM}, {_POS}, b AS (SELECT DISTINCT g, (p > 2)::INT AS node, e, v FROM inc JOIN pos USING (g, e)) SELECT g, node, string_agg(DISTINCT v, ',' ORDER BY v) AS bag, count(DISTINCT e) AS width FROM b GROUP BY g, node")
 def split_decomp(spark, sf_dir):
     h = inc.corpus(spark, sf_dir)
@@ -376,9 +371,61 @@ def decomposition_valid(spark, sf_dir):
     return found.select("g", "verdict").distinct().join(checked, "g", "left")
 
 
-@query()
+_HINGE = (
+    "ed AS (SELECT DISTINCT g, e FROM inc), rest AS MATERIALIZED (SELECT x.g, x.e AS x, i.e, i.v FROM ed x JOIN inc i USING (g) ANTI JOIN inc s ON s.g = x.g AND s.e = x.e AND s.v = i.v),"
+    " link AS MATERIALIZED (SELECT DISTINCT a.g, a.x, a.e, b.e AS f FROM rest a JOIN rest b USING (g, x, v)), reach AS (SELECT * FROM link UNION SELECT r.g, r.x, r.e, l.f FROM reach r JOIN link l ON l.g = r.g AND l.x = r.x AND l.e = r.f),"
+    " lab AS MATERIALIZED (SELECT g, x, e, comp FROM (SELECT g, x, e, min(f) AS comp FROM reach GROUP BY ALL) QUALIFY min(comp) OVER (PARTITION BY g, x) != max(comp) OVER (PARTITION BY g, x)),"
+    " st AS (SELECT g, -1::BIGINT AS px, -1::BIGINT AS pc, e, true AS own, 0 AS k FROM ed UNION ALL SELECT * FROM ("
+    "WITH pl AS (SELECT a.g, a.px, a.pc, lab.x, lab.comp, count(*) AS n, bool_or(b.e = a.px) AS up FROM st a JOIN lab ON lab.g = a.g AND lab.x = a.e JOIN st b ON b.g = a.g AND b.px = a.px AND b.pc = a.pc AND b.e = lab.e GROUP BY ALL),"
+    " sp AS (SELECT g, px, pc, x, max(n) AS n, coalesce(min(comp) FILTER (up), min(comp)) AS home FROM pl GROUP BY ALL HAVING count(*) > 1),"
+    " pk AS (SELECT g, px, pc, arg_min(x, (n, x)) AS x, arg_min(home, (n, x)) AS home FROM sp GROUP BY ALL),"
+    " mv AS (SELECT s.*, pk.x, pk.home, lab.comp FROM st s JOIN pk USING (g, px, pc) LEFT JOIN lab ON lab.g = s.g AND lab.x = pk.x AND lab.e = s.e)"
+    " SELECT g, CASE WHEN comp != home THEN x ELSE px END AS px, CASE WHEN comp != home THEN comp ELSE pc END AS pc, e, own, k + 1 AS k FROM mv UNION ALL SELECT DISTINCT g, x, comp, x, false, k + 1 FROM mv WHERE comp != home)),"
+    " fin AS (SELECT g, (dense_rank() OVER (PARTITION BY g ORDER BY px, pc) - 1)::INT AS part, px, e, own FROM (SELECT * FROM st QUALIFY k = max(k) OVER (PARTITION BY g, px, pc))),"
+    " hi AS (SELECT a.g, a.part, b.part AS parent, nullif(a.px, -1) AS shared, a.e FROM fin a LEFT JOIN fin b ON b.g = a.g AND b.e = a.px AND b.own),"
+    " big AS (SELECT g, arg_min(part, (-n, part)) AS part, max(n) AS edges FROM (SELECT g, part, count(*) AS n FROM hi GROUP BY g, part) GROUP BY g)"
+)
+_REDUCED = f"{_gyo_sql(_HM, 5)}, inc AS MATERIALIZED (SELECT * FROM i5)"
+
+
+@query(f"{_REDUCED}, {_HINGE} SELECT * FROM hi")
 def hinge_tree(spark, sf_dir):
-    return solvers.hinge_parts(_reduced(spark, sf_dir))
+    return hinges.hinge_tree(_reduced(spark, sf_dir))
+
+
+# Distances of at most 9: these graphs have 10 vertices.
+_REMOVED = (
+    "ed AS (SELECT DISTINCT g, e FROM inc), rm AS (SELECT * FROM ed UNION ALL SELECT DISTINCT g, -1 FROM ed), ad AS MATERIALIZED (SELECT DISTINCT a.g, rm.e AS x, a.v AS a, b.v AS b FROM rm JOIN inc a USING (g) JOIN inc b ON b.g = a.g AND b.e = a.e AND b.v != a.v WHERE a.e != rm.e),"
+    " wk AS (SELECT g, x, a, b, 1 AS dist FROM ad UNION SELECT w.g, w.x, w.a, d.b, dist + 1 FROM wk w JOIN ad d ON d.g = w.g AND d.x = w.x AND d.a = w.b WHERE dist < 9 AND d.b != w.a), sh AS (SELECT g, x, a, b, min(dist) AS dist FROM wk GROUP BY ALL),"
+    " chg AS (SELECT o.g, ed.e, coalesce(sum(n.dist - o.dist), 0)::BIGINT AS stretched, (count(*) - count(n.dist))::BIGINT AS lost FROM ed JOIN sh o ON o.g = ed.g AND o.x = -1 LEFT JOIN sh n ON n.g = o.g AND n.x = ed.e AND n.a = o.a AND n.b = o.b GROUP BY o.g, ed.e)"
+)
+
+
+@query(f"{_REDUCED}, {_REMOVED} SELECT * FROM chg")
+def distance_change(spark, sf_dir):
+    return distances.distance_change(cut(_reduced(spark, sf_dir), "residue"))
+
+
+@query(f"{_REDUCED}, {_REMOVED} SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY lost DESC, stretched DESC, e)::INT AS rank FROM chg")
+def max_separator_order(spark, sf_dir):
+    return distances.max_separator_order(cut(_reduced(spark, sf_dir), "residue"))
+
+
+@query(f"{_HS}, {_HINGE} SELECT * FROM hi")
+def hinge_tree_sparse(spark, sf_dir):
+    """Of whole graphs, which fall into more and deeper parts than reduced ones."""
+    return hinges.hinge_tree(cut(inc.corpus(spark, sf_dir, "hs"), "graphs"))
+
+
+@query(f"{_HS}, {_HINGE} SELECT big.g, edges::INT AS width, n AS nodes, true AS valid FROM big JOIN (SELECT g, count(DISTINCT part) AS n FROM hi GROUP BY g) USING (g)")
+def hinge_grafted(spark, sf_dir):
+    """A node for each part, grafted along the shared edges: valid trees as wide as the largest part."""
+    h = cut(inc.corpus(spark, sf_dir, "hs"), "graphs")
+    tree = cut(hinges.hinge_tree(h), "hinges")
+    lists = hinges.part_graphs(tree, h).groupBy("g").agg(F.array_sort(F.collect_set("v")).alias("bag"), F.array_sort(F.collect_set("e")).alias("cover"))
+    nodes = lists.select("g", F.lit(1).alias("node"), F.lit(None).cast("int").alias("parent"), "bag", "cover")
+    whole = cut(hinges.graft(tree, cut(nodes, "part-trees"), h), "trees")
+    return trees.validate(whole, h).join(whole.groupBy("g").agg(F.count("*").alias("nodes")), "g").select("g", "width", "nodes", "valid")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

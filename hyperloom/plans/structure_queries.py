@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from hyperloom.functions import sets
 from hyperloom.operators import components as comp
 from hyperloom.operators import incidence as inc
-from hyperloom.operators import reductions, search_orders, trees
-from hyperloom.plans.corpus_queries import _HM, _HP, _LOW, _POS, _TYPES, ORACLES, QUERIES, _gyo_sql, _low, query  # noqa: F401
+from hyperloom.operators import hinges, reductions, search_orders, trees
+from hyperloom.plans.corpus_queries import _HINGE, _HM, _HP, _LOW, _POS, _REDUCED, _TYPES, ORACLES, QUERIES, _gyo_sql, _low, query  # noqa: F401
 from hyperloom.sources import text_formats
 from hyperloom.storage import cut
 
@@ -420,10 +420,22 @@ def max_cardinality_order(spark, sf_dir):
     return search_orders.msc_order(inc.corpus(spark, sf_dir))
 
 
-@query()
+@query(f"{_REDUCED}, {_HINGE} SELECT g, part, edges FROM big")
 def largest_hinge(spark, sf_dir):
     """The hinge with most edges of each reduced graph; of equal ones the first."""
-    from hyperloom.operators import solvers
+    return hinges.largest_hinge(hinges.hinge_tree(reductions.gyo(inc.corpus(spark, sf_dir))))
+
 
-    parts = solvers.hinge_parts(reductions.gyo(inc.corpus(spark, sf_dir))).groupBy("g", "part").agg(F.count("*").alias("edges"))
-    return parts.groupBy("g").agg(F.max_by("part", F.struct("edges", -F.col("part"))).alias("part"), F.max("edges").alias("edges"))
+@query(
+    f"{_HM}, {_TYPES}, "
+    + _gyo_sql("inc AS (SELECT inc.* FROM inc SEMI JOIN (SELECT g, rep AS v FROM mem) r USING (g, v))", 7).replace("inc AS", "i AS", 1)
+    + f", {_HINGE.replace('FROM inc', 'FROM i7').replace('JOIN inc', 'JOIN i7')}, y AS (SELECT i7.* FROM i7 JOIN hi USING (g, e) JOIN big USING (g, part)),"
+    " s AS (SELECT g, e, count(*) AS arity FROM y GROUP BY g, e), a AS (SELECT g, avg(arity) AS avg_arity, count(*) AS edges, max(arity) AS max_arity, sum(arity)::BIGINT AS sum_arity FROM s GROUP BY g),"
+    " b AS (SELECT g, count(*) AS vertices, max(degree) AS max_degree FROM (SELECT g, v, count(*) AS degree FROM y GROUP BY g, v) GROUP BY g) SELECT * FROM a JOIN b USING (g)"
+)
+def stats_largest_hinge(spark, sf_dir):
+    """Statistics of the largest hinge of what type collapse and the acyclicity reduction leave."""
+    residue = cut(reductions.gyo(reductions.type_collapse(inc.corpus(spark, sf_dir))[0]), "residue")
+    tree = cut(hinges.hinge_tree(residue), "hinges")
+    largest = tree.join(hinges.largest_hinge(tree), ["g", "part"], "left_semi").select("g", "e")
+    return inc.statistics(residue.join(largest, ["g", "e"], "left_semi"))
