@@ -128,6 +128,52 @@ def by_cost(found: DataFrame, costs: DataFrame) -> DataFrame:
     return joined.select("g", "s", "cost", F.row_number().over(Window.partitionBy("g").orderBy("cost", "s")).alias("rank"))
 
 
+def sets_within(edges: DataFrame, bands: DataFrame, most: int) -> DataFrame:
+    """(g, chosen, cost): sets of at most ``most`` of ``edges`` (g, e, cost, at: place by cost) whose costs sum to more than ``low`` and at most ``high`` of ``bands`` (g, low, high).
+
+    Edges are added in order of cost, so for a set so far there is a last place whose edge still fits; the places up to it are made by a sequence, and none beyond.
+    """
+    level = bands.select("g", "low", "high", F.expr("CAST(array() AS array<bigint>)").alias("chosen"), F.lit(0).alias("pos"), F.lit(0.0).alias("sum"))
+    out = []
+    for _ in range(most):
+        # The room is a bit wider than what is left, so that no rounding hides a set; the exact comparison follows.
+        room = level.withColumn("room", (F.col("high") - F.col("sum")) + F.col("high") * 1e-9)
+        marks = edges.select("g", F.col("cost").alias("room"), "at", F.lit(None).cast("array<bigint>").alias("chosen")).union(room.select("g", "room", F.lit(None).cast("int"), "chosen"))
+        until = F.max("at").over(Window.partitionBy("g").orderBy("room", F.asc_nulls_last("at")).rowsBetween(Window.unboundedPreceding, 0))
+        reach = marks.withColumn("until", until).where("chosen IS NOT NULL").select("g", "chosen", "until").join(room, ["g", "chosen"]).where("pos < until")
+        joined = reach.withColumn("at", F.explode(F.expr("sequence(pos + 1, until)"))).join(edges, ["g", "at"])
+        level = joined.select("g", "low", "high", F.array_append("chosen", F.col("e")).alias("chosen"), F.col("at").alias("pos"), (F.col("sum") + F.col("cost")).alias("sum")).where("sum <= high")
+        level = cut(level, "sets-within")
+        out.append(level.where("sum > low").select("g", "chosen", F.col("sum").alias("cost")))
+    every = out[0]
+    for frame in out[1:]:
+        every = every.union(frame)
+    return every
+
+
+def cheapest_balanced(inc: DataFrame, costs: DataFrame, most: int = 2, growth: float = 4.0) -> DataFrame:
+    """(g, s, cost, tested): the balanced separator of at most ``most`` edges whose edges' costs (g, e, cost) have the smallest sum (then by s), null if there is none, and how many candidates were tested.
+
+    Candidates are made and tested in bands of rising cost, the first up to the smallest cost above 0 and each as far as ``growth`` times the one before; a graph stops at the band with its first hit, since all
+    sets beyond cost more. An edge without a cost, or with one below 0, is an error.
+    """
+    known = inc.select("g", "e").distinct().join(costs, ["g", "e"], "left")
+    checked = F.when(F.col("cost").isNull() | (F.col("cost") < 0), F.raise_error(F.concat(F.lit("no cost from 0 on for edge "), F.col("e").cast("string"))).cast("double")).otherwise(F.col("cost").cast("double"))
+    edges = cut(known.withColumn("cost", checked).withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("cost", "e"))), "edge-costs")
+    ends = edges.groupBy("g").agg(F.coalesce(F.min(F.when(F.col("cost") > 0, F.col("cost"))), F.lit(0.0)).alias("high"), (F.max("cost") * most).alias("end"))
+    bands = cut(ends.select("g", F.lit(-1.0).alias("low"), "high", "end"), "bands")
+    hits, tested = None, None
+    while not bands.isEmpty():
+        found = cut(sets_within(edges, bands, most).select("g", F.array_sort("chosen").alias("chosen"), "cost").withColumn("s", F.array_join("chosen", ",")), "candidates")
+        good = balanced(inc, found.select("g", "s", F.explode("chosen").alias("e"))).select("g", "s")
+        best = cut(found.join(good, ["g", "s"], "left_semi").groupBy("g").agg(F.min(F.struct("cost", "s")).alias("k")).select("g", "k.s", "k.cost"), "cheapest")
+        counts = cut(found.groupBy("g").agg(F.count("*").alias("n")), "tested")
+        hits, tested = (best, counts) if hits is None else (hits.union(best), tested.union(counts))
+        open_ = bands.join(best, "g", "left_anti").where("high < end")
+        bands = cut(open_.select("g", F.col("high").alias("low"), (F.col("high") * growth).alias("high"), "end"), "bands")
+    return tested.groupBy("g").agg(F.sum("n").alias("tested")).join(hits, "g", "left").select("g", "s", "cost", "tested")
+
+
 def subedges(inc: DataFrame, k: int = 2) -> DataFrame:
     """(g, e, subset): the non-empty proper subsets of unions of up to ``k`` proper intersections of edge e with others, each once.
 

@@ -237,6 +237,18 @@ def best_separator_by_cost(spark, sf_dir):
     return comp.by_cost(comp.balanced(h, combos), costs).where("rank = 1").select("g", "s", "cost")
 
 
+@query(
+    f"{_gyo_sql(_HM, 5)}, inc AS MATERIALIZED (SELECT * FROM i5), {_BALANCED}, c AS (SELECT cand.g, cand.s, bal.s IS NOT NULL AS hit, (CASE WHEN e1 = e2 THEN e1 % 97 ELSE e1 % 97 + e2 % 97 END)::DOUBLE AS cost FROM cand LEFT JOIN bal USING (g, s)),"
+    " b AS (SELECT g, min(cost) FILTER (hit) AS best FROM c GROUP BY g), lo AS (SELECT g, coalesce(min(e % 97) FILTER (e % 97 > 0), 0)::DOUBLE AS base FROM ed GROUP BY g),"
+    " h AS (SELECT g, best, min(base * pow(4, t)) FILTER (base * pow(4, t) >= best) AS high FROM b JOIN lo USING (g), range(0, 12) r(t) GROUP BY g, best)"
+    " SELECT h.g, min(s) FILTER (hit AND cost = best) AS s, best AS cost, count(*) FILTER (best IS NULL OR cost <= high) AS tested FROM h JOIN c USING (g) GROUP BY h.g, best"
+)
+def cheapest_separator(spark, sf_dir):
+    """The separator of ``best_separator_by_cost``, found by rising cost, and the number of candidates that it took."""
+    h = cut(_reduced(spark, sf_dir), "residue")
+    return comp.cheapest_balanced(h, h.select("g", "e", (F.col("e") % 97).cast("double").alias("cost")).distinct())
+
+
 @query(
     f"{_gyo_sql(_HM, 5)}, inc AS MATERIALIZED (SELECT * FROM i5), {_BALANCED}, place AS (SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY e) - 1 AS p, count(*) OVER (PARTITION BY g) AS m FROM ed),"
     " r AS (SELECT c.g, c.s, CASE WHEN c.e1 = c.e2 THEN a.m * (a.m - 1) // 2 + a.p ELSE b.p * (b.p - 1) // 2 + a.p END AS rank, a.m FROM cand c JOIN place a ON a.g = c.g AND a.e = c.e1 JOIN place b ON b.g = c.g AND b.e = c.e2)"
