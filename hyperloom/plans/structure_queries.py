@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hyperloom.functions import sets
 from hyperloom.operators import components as comp
 from hyperloom.operators import incidence as inc
-from hyperloom.operators import hinges, reductions, search_orders, trees
+from hyperloom.operators import hinges, reductions, repair, search_orders, trees
 from hyperloom.plans.corpus_queries import _HINGE, _HM, _HP, _LOW, _POS, _REDUCED, _TYPES, ORACLES, QUERIES, _gyo_sql, _low, query  # noqa: F401
 from hyperloom.sources import text_formats
 from hyperloom.storage import cut
@@ -275,6 +275,30 @@ def reduction_undone(spark, sf_dir):
     return trees.validate(whole, h).join(whole.groupBy("g").agg(F.count("*").alias("nodes")), "g")
 
 
+@query(
+    f"{_HM}, w0 AS (FROM inc), {_TYPES}, "
+    + _gyo_sql("inc AS (SELECT inc.* FROM inc SEMI JOIN (SELECT g, rep AS v FROM mem) r USING (g, v))", 7)
+    + ", n AS (SELECT g, count(DISTINCT e) AS n, count(DISTINCT v) AS held FROM i7 GROUP BY g), o AS (SELECT g, n, CASE WHEN g % 5 = 0 OR (g % 5 = 4 AND n IS NULL) OR (g % 5 IN (1, 2) AND held = m.v) THEN 'pruned' WHEN g % 5 < 3 AND n IS NOT NULL THEN 'lifted' ELSE 'broken' END AS outcome"
+    " FROM (SELECT g, count(DISTINCT e) AS m, count(DISTINCT v) AS v FROM w0 GROUP BY g) m LEFT JOIN n USING (g) WHERE CASE g % 5 WHEN 0 THEN true WHEN 4 THEN m > coalesce(n, 0) ELSE n IS NOT NULL END)"
+    " SELECT g, outcome, CASE WHEN outcome != 'broken' THEN greatest(1, coalesce(n, 0))::INT END AS width, CASE WHEN outcome != 'broken' THEN true END AS valid FROM o"
+)
+def tree_repair(spark, sf_dir):
+    """Trees by g % 5: 0 whole ones with a needless leaf below each node; 1 and 2 those of reduced graphs (trees of the whole ones too, where no vertex was removed); 3 the same without their covers; 4 whole ones in which the residual edges' node is gone, so that only join trees are left whole."""
+    h = cut(inc.corpus(spark, sf_dir), "graphs")
+    kept, members = reductions.type_collapse(h)
+    kept = cut(kept, "representatives")
+    residue, log = reductions.gyo_logged(kept)
+    one = residue.groupBy("g").agg(F.array_sort(F.collect_set("v")).alias("bag"), F.array_sort(F.collect_set("e")).alias("cover"))
+    small = cut(one.select("g", F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), "bag", "cover"), "trees")
+    whole = cut(trees.restore_types_in_bags(reductions.undo_gyo(small, kept, residue, log), members), "trees")
+    leaves = whole.select("g", (-1 - F.col("node")).alias("node"), F.col("node").alias("parent"), F.expr("slice(bag, 1, 1)").alias("bag"), "cover")
+    held = small.select("g").withColumn("gone", F.lit(True))
+    fourth = whole.join(held, "g", "left").where("gone IS NULL OR parent IS NOT NULL").drop("gone")
+    read = whole.union(leaves).where("g % 5 = 0").union(small.where("g % 5 IN (1, 2)")).union(small.where("g % 5 = 3").withColumn("cover", F.array().cast("array<bigint>"))).union(fourth.where("g % 5 = 4"))
+    outcomes, made = repair.repair(read, h)
+    return outcomes.join(trees.validate(made, h).select("g", "width", "valid"), "g", "left")
+
+
 _VALID = "ok AS (SELECT g, bool_and(k) AS valid FROM (SELECT g, v, max(node) - min(node) + 1 = count(*) AS k FROM (SELECT g, node, unnest(bag) AS v FROM ch) GROUP BY g, v) GROUP BY g)"
 _GML = (
     "tx AS (SELECT g, 'graph [' || chr(10) || '  directed 0' || chr(10) || string_agg('  node [' || chr(10) || '    id ' || node || chr(10) || '    label \"{' || e || '}{' || array_to_string(bag, ', ') || '}\"' || chr(10) || '  ]' || chr(10), '' ORDER BY node)"
