@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperloom.operators import components, trees
+from hyperloom.operators import components, packed, trees
 from hyperloom.storage import cut
 
 
@@ -24,9 +24,10 @@ def hinge_tree(inc: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     both. So ``edge_separators`` are found once (or given as ``labels``), and each level only joins them with the parts. A level splits each part at the edge whose largest piece is smallest (then the lowest id):
     the piece with the edge shared with the parent, or else with the lowest edge, stays; any other becomes a part named by (x, comp), with a copy of x. Each edge splits one part, once, so the name tells it, and
     the parent is the part that has x itself and no copy. Edges inside x stay. The number of edges in the largest part does not depend on the choice of edges; the number of levels does: it is
-    logarithmic for trees of small parts, but one large part with many small ones at different edges loses one of them a level.
+    logarithmic for trees of small parts, but one large part with many small ones at different edges loses one of them a level. Without ``labels`` small graphs are split as rows (``packed``).
     """
-    labels = edge_separators(inc) if labels is None else labels
+    if labels is None:
+        return packed.over_graphs(inc, packed.hinge_rows, "part int, parent int, shared long, e long", lambda rows: hinge_tree(rows, edge_separators(rows)))
     edges = inc.select("g", "e").distinct()
     root = F.lit(None).cast("long")
     parts = cut(edges.select("g", root.alias("px"), root.alias("pc"), "e", F.lit(True).alias("own")), "hinge-parts")
