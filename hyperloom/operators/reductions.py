@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hyperloom.operators import packed
 from hyperloom.operators.incidence import edge_lists, vertex_degree
 from hyperloom.operators.trees import bag_rows
 from hyperloom.storage import cut, until_stable
@@ -71,9 +72,13 @@ def gyo_round(inc: DataFrame) -> DataFrame:
 def gyo(inc: DataFrame) -> DataFrame:
     """The residue of removing subsumed edges and lonely vertices until nothing changes; empty for acyclic graphs.
 
-    Lonely vertices are dropped on the way to the comparison of edges, so that only shared ones are compared and written.
+    Small graphs are reduced as rows (``packed``). By joins, lonely vertices are dropped on the way to the comparison of edges, so that only shared ones are compared and written.
     """
-    rows = cut(inc.select("g", "e", "v").distinct(), "rows")
+    return cut(packed.over_graphs(inc, packed.residual_rows, "e long, v long", _gyo_by_joins), "gyo")
+
+
+def _gyo_by_joins(inc: DataFrame) -> DataFrame:
+    rows = cut(inc.distinct(), "rows")
     return until_stable(gyo_step(rows, True), lambda rows: gyo_step(rows, False), "gyo")
 
 
@@ -82,7 +87,13 @@ def gyo_logged(inc: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Vertices need no rows: an edge lost those that ``inc`` has and the residue has not.
     """
-    rows, whole, log = cut(inc.select("g", "e", "v").distinct(), "rows"), True, None
+    both = cut(packed.over_graphs(inc, packed.logged_rows, "e long, v long, parent long", _logged_by_joins), "gyo-logged")
+    return both.where("v IS NOT NULL").select("g", "e", "v"), both.where("v IS NULL").select("g", "e", "parent")
+
+
+def _logged_by_joins(inc: DataFrame) -> DataFrame:
+    """(g, e, v, parent): the residue's rows without a parent, and the log's without a vertex."""
+    rows, whole, log = cut(inc.distinct(), "rows"), True, None
     before = rows.count()
     while True:
         parts = cut(shared_parts(rows, whole), "shared-parts")
@@ -94,7 +105,8 @@ def gyo_logged(inc: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = cut(parts.join(gone, ["g", "e"], "left_anti").select("g", "e", F.explode("vs").alias("v")), "gyo")
         after = rows.count()
         if after == before and not whole:
-            return rows, cut(log, "gyo-log")
+            none = F.lit(None).cast("long")
+            return rows.withColumn("parent", none).unionByName(log.withColumn("v", none))
         before, whole = after, False
 
 
