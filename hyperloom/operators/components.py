@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperloom.functions.sets import balance_limit, powerset
+from hyperloom.operators import packed
 from hyperloom.operators.incidence import lowest_edges, sizes
 from hyperloom.storage import cut
 
@@ -65,6 +66,12 @@ def balanced(inc: DataFrame, combos: DataFrame, factor: int = 2) -> DataFrame:
     return scored.where(F.col("largest") <= F.expr(f"edges * {factor - 1} DIV {factor}")).select("g", "s", "size", "largest")
 
 
+def balanced_sets(inc: DataFrame, most: int = 2, factor: int = 2) -> DataFrame:
+    """``balanced`` of all sets of at most ``most`` edges; a small graph is one row, and its sets are made and tested without an exchange."""
+    by_joins = lambda rows: balanced(rows, edge_combinations(rows, most), factor)
+    return packed.over_graphs(inc, packed.balanced_rows(most, factor), "s string, size long, largest long", by_joins, min(packed.MOST, packed.MOST_TRIED))
+
+
 def without_lowest(inc: DataFrame, k: int = 2) -> DataFrame:
     """Components of each graph without the vertices of its k lowest edges."""
     seps = inc.join(lowest_edges(inc, k), ["g", "e"], "left_semi").select("g", F.lit("low").alias("s"), "v").distinct()
@@ -155,11 +162,18 @@ def cheapest_balanced(inc: DataFrame, costs: DataFrame, most: int = 2, growth: f
     """(g, s, cost, tested): the balanced separator of at most ``most`` edges whose edges' costs (g, e, cost) have the smallest sum (then by s), null if there is none, and how many candidates were tested.
 
     Candidates are made and tested in bands of rising cost, the first up to the smallest cost above 0 and each as far as ``growth`` times the one before; a graph stops at the band with its first hit, since all
-    sets beyond cost more. An edge without a cost, or with one below 0, is an error.
+    sets beyond cost more. An edge without a cost, or with one below 0, is an error. Small graphs are searched as rows (``packed``), others in bands by joins.
     """
     known = inc.select("g", "e").distinct().join(costs, ["g", "e"], "left")
     checked = F.when(F.col("cost").isNull() | (F.col("cost") < 0), F.raise_error(F.concat(F.lit("no cost from 0 on for edge "), F.col("e").cast("string"))).cast("double")).otherwise(F.col("cost").cast("double"))
-    edges = cut(known.withColumn("cost", checked).withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("cost", "e"))), "edge-costs")
+    priced = inc.join(known.select("g", "e", checked.alias("cost")), ["g", "e"]).select("g", "e", "v", "cost")
+    by_bands = lambda rows: _cheapest_by_bands(rows, most, growth)
+    return packed.over_graphs(priced, packed.cheapest_rows(most, growth), "s string, cost double, tested long", by_bands, min(packed.MOST, packed.MOST_TRIED))
+
+
+def _cheapest_by_bands(inc: DataFrame, most: int, growth: float) -> DataFrame:
+    edges = inc.select("g", "e", "cost").distinct()
+    edges = cut(edges.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("cost", "e"))), "edge-costs")
     ends = edges.groupBy("g").agg(F.coalesce(F.min(F.when(F.col("cost") > 0, F.col("cost"))), F.lit(0.0)).alias("high"), (F.max("cost") * most).alias("end"))
     bands = cut(ends.select("g", F.lit(-1.0).alias("low"), "high", "end"), "bands")
     hits, tested = None, None

@@ -222,8 +222,7 @@ def _reduced(spark, sf_dir):
 
 @query(f"{_gyo_sql(_HM, 5)}, inc AS MATERIALIZED (SELECT * FROM i5), {_BALANCED} SELECT * FROM bal")
 def balanced_separators(spark, sf_dir):
-    h = _reduced(spark, sf_dir)
-    return comp.balanced(h, comp.edge_combinations(h, 2))
+    return comp.balanced_sets(_reduced(spark, sf_dir), 2)
 
 
 _COST = "1.0 * sum(e % 97)"
@@ -231,10 +230,9 @@ _COST = "1.0 * sum(e % 97)"
 
 @query(f"{_gyo_sql(_HM, 5)}, inc AS MATERIALIZED (SELECT * FROM i5), {_BALANCED}, c AS (SELECT bal.g, bal.s, (CASE WHEN e1 = e2 THEN e1 % 97 ELSE e1 % 97 + e2 % 97 END)::DOUBLE AS cost FROM bal JOIN cand USING (g, s)) SELECT g, s, cost FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY cost, s) = 1")
 def best_separator_by_cost(spark, sf_dir):
-    h = _reduced(spark, sf_dir)
-    combos = comp.edge_combinations(h, 2)
-    costs = combos.groupBy("g", "s").agg(F.sum(F.col("e") % 97).cast("double").alias("cost"))
-    return comp.by_cost(comp.balanced(h, combos), costs).where("rank = 1").select("g", "s", "cost")
+    found = cut(comp.balanced_sets(_reduced(spark, sf_dir), 2), "balanced")
+    costs = found.select("g", "s", F.expr("aggregate(transform(split(s, ','), x -> CAST(x AS bigint) % 97), 0L, (a, x) -> a + x)").cast("double").alias("cost"))
+    return comp.by_cost(found, costs).where("rank = 1").select("g", "s", "cost")
 
 
 @query(
@@ -444,5 +442,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acyclicity, residual edges and the number of balanced separators of at most two edges, for each graph."""
     h = inc.corpus(spark, sf_dir)
     residue = reductions.gyo(h)
-    count = comp.balanced(residue, comp.edge_combinations(residue, 2)).groupBy("g").agg(F.count("*").alias("n"))
+    count = comp.balanced_sets(residue, 2).groupBy("g").agg(F.count("*").alias("n"))
     return reductions.acyclic(h, residue).join(count, "g", "left").select("g", "is_acyclic", "residual_edges", F.coalesce("n", F.lit(0)).alias("separators"))
