@@ -2,7 +2,7 @@
 
 Media are RIFF/WAVE files in a binary column. Expansion tables hold one 16-bit value for each of the 256 codes. ADPCM blocks all start
 with their own state, so one step decodes the next nibble of every block of a batch at once. Decoded samples are 16-bit PCM, resampled
-linearly to the target rate and stored, losslessly, as the even samples and what the odd ones differ from the mean of their neighbours. Features are computed from
+linearly to the target rate and stored, losslessly, as the even samples (as positions where all are on a G.711 grid, else as differences) and what the odd ones differ from the mean of their neighbours. Features are computed from
 the stored PCM as it is read back.
 
 A row holds a whole file, 8 bytes of PCM for a byte of ADPCM. Null texts or media count as empty; an empty payload is padded to one unit; equal payloads give equal files and features. An
@@ -190,6 +190,36 @@ def unpack_pcm(raw: bytes) -> np.ndarray:
     return out
 
 
+#: Position on each G.711 grid of every 16-bit sample, and which samples are on it.
+GRIDS = [(np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, bool)) for _ in ("mulaw", "alaw")]
+for (_places, _on), _table in zip(GRIDS, (TABLES["mulaw"], TABLES["alaw"]), strict=True):
+    _places[_table.view(np.uint16)] = np.arange(256)
+    _on[_table.view(np.uint16)] = True
+
+
+def shrink_pcm(samples: np.ndarray) -> bytes:
+    """``pack_pcm`` behind a byte for the form of the even samples: 0 or 1 as one-byte positions where all are on the mu-law or A-law grid, else 2, each less the one before (modulo 2^16)."""
+    raw = np.frombuffer(pack_pcm(samples), "<i2")
+    even, odd = np.split(raw, [-(-len(raw) // 2)])
+    for form, (places, on) in enumerate(GRIDS):
+        if on[even.view(np.uint16)].all():
+            return bytes([form]) + places[even.view(np.uint16)].tobytes() + odd.tobytes()
+    return b"\x02" + np.diff(even, prepend=np.int16(0)).tobytes() + odd.tobytes()
+
+
+def grow_pcm(stored: bytes) -> np.ndarray:
+    form, body = stored[0], np.frombuffer(stored, np.uint8)[1:]
+    if form == 2:
+        raw = body.copy().view("<i2")
+        half = -(-len(raw) // 2)
+        raw[:half] = np.cumsum(raw[:half], dtype=np.int16)
+        return unpack_pcm(raw.tobytes())
+    # A byte for an even sample and two for an odd one, of which there are as many or one less.
+    half = -(-len(body) // 3)
+    even = TABLES[("mulaw", "alaw")[form]][body[:half]]
+    return unpack_pcm(even.astype("<i2").tobytes() + body[half:].tobytes())
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about a megabyte in a binary column."""
     sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -212,7 +242,7 @@ def decode_media(media: DataFrame, ident: str = "doc_id", column: str = "media")
 
 
 def store_pcm(media: DataFrame) -> DataFrame:
-    """Stored media (doc_id, n_bytes, media) read back, decoded, resampled, and the PCM (``pack_pcm``) written to the shared folder beside digests of what was read."""
+    """Stored media (doc_id, n_bytes, media) read back, decoded, resampled, and the PCM (``shrink_pcm``) written to the shared folder beside digests of what was read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +252,7 @@ def store_pcm(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(x) for x in payloads], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads]),
                      pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), pa.array([len(x) for x in files], pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in files]), pa.array(codecs), pa.array([pack_pcm(resample(x)) for x in pcm], pa.binary())],
+                     pa.array([hashlib.sha256(x).hexdigest() for x in files]), pa.array(codecs), pa.array([shrink_pcm(resample(x)) for x in pcm], pa.binary())],
                     names=[*DIGESTS, "codec", "pcm"],
                 )
 
@@ -250,7 +280,7 @@ def media_digests(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 8):
-                features = [summary(c, unpack_pcm(x.as_py())) for c, x in zip(part.column(7).to_pylist(), part.column(8), strict=True)]
+                features = [summary(c, grow_pcm(x.as_py())) for c, x in zip(part.column(7).to_pylist(), part.column(8), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(features, pa.string())], names=[*DIGESTS, "feature"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
