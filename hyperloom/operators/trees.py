@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hyperloom.operators import packed, small_trees
 from hyperloom.storage import cut
 
 
@@ -108,7 +109,13 @@ def special_condition(tree: DataFrame, inc: DataFrame) -> DataFrame:
 
 
 def validate(tree: DataFrame, inc: DataFrame) -> DataFrame:
-    """(g, width, one column for each check, valid): valid is that of a generalised decomposition."""
+    """(g, width, one column for each check, valid): valid is that of a generalised decomposition. Small graphs are checked as rows (``packed``), with their trees."""
+    fields = "width int, bags_covered boolean, covers_known boolean, edges_in_bags boolean, connected boolean, special_condition boolean, valid boolean"
+    frames = {"tree": tree.select("g", "node", "parent", "bag", "cover"), "inc": inc.select("g", "e", "v")}
+    return packed.together(frames, small_trees.validated, fields, _validate_by_joins)
+
+
+def _validate_by_joins(tree: DataFrame, inc: DataFrame) -> DataFrame:
     out = width(tree).join(bags_covered(tree, inc), "g").join(covers_known(tree, inc), "g").join(edges_in_bags(tree, inc), "g").join(connected(tree), "g").join(special_condition(tree, inc), "g")
     return out.withColumn("valid", F.col("bags_covered") & F.col("covers_known") & F.col("edges_in_bags") & F.col("connected"))
 
@@ -150,7 +157,13 @@ def prune(tree: DataFrame) -> DataFrame:
 
 
 def restore_types_in_bags(tree: DataFrame, members: DataFrame) -> DataFrame:
-    """Bags with every vertex that a representative in them stands for."""
+    """Bags with every vertex that a representative in them stands for. Trees of small graphs get them as rows (``packed``)."""
+    frames = {"tree": tree.select("g", "node", "parent", "bag", "cover"), "members": members.select("g", "rep", "v")}
+    fields = f"node {tree.schema['node'].dataType.simpleString()}, parent {tree.schema['parent'].dataType.simpleString()}, bag array<bigint>, cover array<bigint>"
+    return packed.together(frames, small_trees.restored_rows, fields, _restore_by_joins)
+
+
+def _restore_by_joins(tree: DataFrame, members: DataFrame) -> DataFrame:
     full = bag_rows(tree).select("g", "node", F.col("v").alias("rep")).join(members, ["g", "rep"]).groupBy("g", "node").agg(F.array_sort(F.collect_set("v")).alias("full"))
     return tree.join(full, ["g", "node"], "left").select("g", "node", "parent", F.coalesce("full", "bag").alias("bag"), "cover")
 
