@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hyperloom.operators import packed
 from hyperloom.storage import cut
 
 
 def primal_distances(inc: DataFrame, rounds: int = 64) -> DataFrame:
-    """(g, a, b, dist) of connected vertices a != b: breadth-first rounds of joins from all vertices at once."""
+    """(g, a, b, dist) of connected vertices a != b. Small graphs are searched as rows (``packed``), others by breadth-first rounds of joins from all vertices at once."""
+    return packed.over_graphs(inc, packed.distance_rows, "a long, b long, dist int", lambda rows: _distances_by_joins(rows, rounds))
+
+
+def _distances_by_joins(inc: DataFrame, rounds: int) -> DataFrame:
     step = inc.select("g", "e", F.col("v").alias("a")).join(inc.select("g", "e", F.col("v").alias("b")), ["g", "e"]).where("a != b").select("g", "a", "b").distinct()
     step = cut(step, "adjacent")
     known = cut(step.withColumn("dist", F.lit(1)), "distances")
