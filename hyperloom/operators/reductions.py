@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperloom.operators import packed
+from hyperloom.operators import packed, small_trees
 from hyperloom.operators.incidence import edge_lists, vertex_degree
 from hyperloom.operators.trees import bag_rows
 from hyperloom.storage import cut, until_stable
@@ -116,8 +116,17 @@ def undo_gyo(tree: DataFrame, inc: DataFrame, residue: DataFrame, log: DataFrame
     Each edge has a node in the end that holds all its vertices. For an edge of the residue that is a node with the residual edge, whose bag takes up the lost vertices if its cover has the edge; else
     a leaf below it has them. A removed edge is a leaf below the node of its parent, and one without a parent hangs from the root. What an edge shared when it was removed
     is in its parent, so each vertex keeps one subtree; new nodes have one edge as cover, so the width grows to 1 at most. Where the residue is empty a join tree arises from the log alone.
-    Graphs with a residue but without a tree, or with a tree that does not hold some residual edge, have no rows.
+    Graphs with a residue but without a tree, or with a tree that does not hold some residual edge, have no rows. Small graphs are undone as rows (``packed``).
     """
+    fields = "node int, parent int, bag array<bigint>, cover array<bigint>"
+    frames = {
+        "tree": tree.select("g", F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("parent"), "bag", "cover"),
+        "inc": inc.select("g", "e", "v"), "residue": residue.select("g", "e", "v"), "log": log.select("g", "e", "parent"),
+    }
+    return packed.together(frames, small_trees.undone_rows, fields, _undo_by_joins)
+
+
+def _undo_by_joins(tree: DataFrame, inc: DataFrame, residue: DataFrame, log: DataFrame) -> DataFrame:
     own = edge_lists(inc)
     size = residue.groupBy("g", "e").agg(F.count_distinct("v").alias("n"))
     holding = residue.select("g", "e", "v").distinct().join(bag_rows(tree), ["g", "v"]).groupBy("g", "e", "node").agg(F.count("*").alias("m")).join(size, ["g", "e"]).where("m = n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperloom.operators import reductions, trees
+from hyperloom.operators import packed, reductions, small_trees, trees
 from hyperloom.storage import cut
 
 
@@ -34,9 +34,17 @@ def repair(tree: DataFrame, inc: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     'pruned': the tree is one of the graph; nodes inside their parents are contracted. 'lifted': it is one of what type collapse and the acyclicity reduction leave of the graph, and both are undone in it.
     'broken': neither, or no tree at all (see ``well_formed``), or a graph that ``inc`` does not have; one bad tree never stops the others. Null bags and covers count as empty. All are checked again at the end, and what fails then is broken.
+    Small graphs are repaired as rows (``packed``), with the same steps.
     """
     none = F.expr("cast(array() as array<bigint>)")
     tree = tree.select("g", F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("parent"), F.coalesce("bag", none).alias("bag"), F.coalesce("cover", none).alias("cover"))
+    fields = "outcome string, node int, parent int, bag array<bigint>, cover array<bigint>"
+    both = cut(packed.together({"tree": tree, "inc": inc.select("g", "e", "v")}, small_trees.repaired, fields, _repair_by_joins), "repaired")
+    return both.select("g", "outcome").distinct(), both.where("node IS NOT NULL").select("g", "node", "parent", "bag", "cover")
+
+
+def _repair_by_joins(tree: DataFrame, inc: DataFrame) -> DataFrame:
+    """(g, outcome, node, parent, bag, cover), without a node where the tree is broken."""
     tree = cut(tree, "read-trees")
     shaped = cut(tree.join(well_formed(tree), "g", "left_semi").join(inc.select("g").distinct(), "g", "left_semi"), "shaped-trees")
     good = cut(_valid(shaped, inc), "good-trees")
@@ -51,5 +59,4 @@ def repair(tree: DataFrame, inc: DataFrame) -> tuple[DataFrame, DataFrame]:
     lifted = trees.restore_types_in_bags(lifted, members)
     made = cut(pruned.withColumn("outcome", F.lit("pruned")).unionByName(lifted.withColumn("outcome", F.lit("lifted"))), "repaired")
     made = cut(made.join(_valid(made, inc), "g", "left_semi"), "repaired")
-    outcomes = tree.select("g").distinct().join(made.select("g", "outcome").distinct(), "g", "left").select("g", F.coalesce("outcome", F.lit("broken")).alias("outcome"))
-    return outcomes, made.select("g", "node", "parent", "bag", "cover")
+    return tree.select("g").distinct().join(made, "g", "left").withColumn("outcome", F.coalesce("outcome", F.lit("broken")))
