@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperloom.functions.sets import choose
+from hyperloom.operators import packed, small_search
 from hyperloom.operators.incidence import edge_lists
 from hyperloom.storage import cut
 
@@ -271,3 +272,16 @@ def trees_of(verdicts: DataFrame, choices: DataFrame, roots: DataFrame, k: int)
     ids = cut(every.select("g", "name", F.expr("CAST(row_number() OVER (PARTITION BY g ORDER BY name) AS INT)").alias("node")), "tree-ids")
     placed = every.join(reached, ["g", "name"]).join(ids, ["g", "name"]).join(ids.select("g", F.col("name").alias("up"), F.col("node").alias("parent")), ["g", "up"], "left")
     return placed.select("g", "node", "parent", "bag", "cover")
+
+
+def decompose(inc: DataFrame, k: int, waves: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """The verdicts of ``solve`` and the trees of ``trees_of``, by separators of whole edges. Small graphs are searched as rows (``packed``), by the same waves and ranks."""
+    fields = "verdict string, subproblems long, node int, parent int, bag array<bigint>, cover array<bigint>"
+    found = cut(packed.over_graphs(inc, small_search.search_rows(k, FIRST, GROWTH, 1 << 40, waves), fields, lambda rows: _decompose_by_joins(rows, k, waves), packed.MOST_TRIED), "decomposed")
+    return found.select("g", "verdict", "subproblems").distinct(), found.where("node IS NOT NULL").select("g", "node", "parent", "bag", "cover")
+
+
+def _decompose_by_joins(inc: DataFrame, k: int, waves: int) -> DataFrame:
+    verdicts, choices, roots = solve(inc, k, waves=waves)
+    verdicts = cut(verdicts, "verdicts")
+    return verdicts.join(trees_of(verdicts, choices, roots, k), "g", "left")

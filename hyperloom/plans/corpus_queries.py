@@ -264,8 +264,8 @@ def frontier_k2(spark, sf_dir):
     """Trees of width 2 by separators of whole edges, all graphs and subproblems in common rounds: reduction, search, and the reduction undone. The verdict, the size of the whole graph's tree and whether it is valid."""
     h = cut(inc.corpus(spark, sf_dir), "graphs")
     residue, log = reductions.gyo_logged(h)
-    verdicts, choices, roots = frontier.solve(residue, 2)
-    made = cut(reductions.undo_gyo(cut(frontier.trees_of(verdicts, choices, roots, 2), "trees"), h, residue, log), "trees")
+    verdicts, found = frontier.decompose(residue, 2)
+    made = cut(reductions.undo_gyo(found, h, residue, log), "trees")
     sizes = made.groupBy("g").agg(F.count("*").alias("nodes"))
     said = h.select("g").distinct().join(verdicts, "g", "left").select("g", F.coalesce("verdict", F.lit("yes")).alias("verdict"))
     return said.join(sizes, "g", "left").join(trees.validate(made, h).select("g", "width", "valid"), "g", "left")
