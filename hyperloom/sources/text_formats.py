@@ -10,9 +10,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hyperloom.operators import packed
+from hyperloom.storage import cut
+
 TOKEN = re.compile(r'"[^"]*"|[^\s(),.%"][^\s(),"]*|[(),.]')
 LABELLED = "name string, edge string, edge_pos int, pos int, vertex string"
 
@@ -145,18 +149,18 @@ def read_costs(texts: DataFrame, names: DataFrame) -> DataFrame:
 def tree_json(tree: DataFrame) -> DataFrame:
     """(g, json): nested nodes {"Bag", "Cover", "Children"} under "Root"; a leaf's children are null."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        made = {r.node: {"Bag": [str(x) for x in r.bag], "Cover": [str(x) for x in r.cover], "Children": None} for r in frame.itertuples()}
+    def small(rows: list[tuple]) -> Iterator[tuple[str]]:
+        made = {node: {"Bag": [str(x) for x in bag], "Cover": [str(x) for x in cover], "Children": None} for node, _, bag, cover in rows}
         root = None
-        for r in frame.sort_values("node").itertuples():
-            if pd.isna(r.parent):
-                root = made[r.node]
+        for node, parent, _, _ in sorted(rows, key=lambda r: r[0]):
+            if parent is None:
+                root = made[node]
             else:
-                above = made[int(r.parent)]
-                above["Children"] = [*(above["Children"] or []), made[r.node]]
-        return pd.DataFrame([(int(frame["g"].iloc[0]), json.dumps({"Root": root}))], columns=["g", "json"])
+                above = made[parent]
+                above["Children"] = [*(above["Children"] or []), made[node]]
+        yield (json.dumps({"Root": root}),)
 
-    return tree.groupBy("g").applyInPandas(one, "g long, json string")
+    return packed.together({"tree": tree.select("g", "node", "parent", "bag", "cover")}, small, "json string", None)
 
 
 def _with_ids(tree: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -175,27 +179,40 @@ def _with_ids(tree: DataFrame, names: DataFrame | None) -> DataFrame:
 def tree_from_json(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(g, node, parent, bag, cover) of (g, json); labels become ids by ``names`` (g, id, label, kind) where it is given."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    columns, types = ["g", "node", "parent", "bag", "cover"], [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for g, text in zip(frame["g"], frame["json"], strict=True):
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count, todo = 0, [(json.loads(text)["Root"], None)]
                 while todo:
                     node, parent = todo.pop()
                     out.append((g, count, parent, [str(x) for x in node["Bag"] or []], [str(x) for x in node["Cover"] or []]))
                     todo += [(c, count) for c in node["Children"] or []]
                     count += 1
-            yield pd.DataFrame(out, columns=["g", "node", "parent", "bag", "cover"]).astype({"parent": "Int32"})
+                if len(out) >= packed.BATCH:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=columns)
 
-    return _with_ids(texts.select("g", "json").mapInPandas(run, "g long, node int, parent int, bag array<string>, cover array<string>"), names)
+    return _with_ids(texts.select(F.col("g").cast("long").alias("g"), "json").mapInArrow(run, "g long, node int, parent int, bag array<string>, cover array<string>"), names)
 
 
 def tree_gml(tree: DataFrame) -> DataFrame:
     """(g, gml): numbered nodes labelled {cover}{bag} and links from parents to children."""
-    label = F.concat(F.lit("{"), F.array_join("cover", ", "), F.lit("}{"), F.array_join("bag", ", "), F.lit("}"))
-    nodes = tree.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("node", F.format_string('  node [\n    id %d\n    label "%s"\n  ]\n', "node", label).alias("t")))).alias("ns"))
-    links = tree.where("parent IS NOT NULL").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("node", F.format_string("  edge [\n    source %d\n    target %d\n  ]\n", "parent", "node").alias("t")))).alias("ls"))
-    return nodes.join(links, "g", "left").select("g", F.concat(F.lit("graph [\n  directed 0\n"), F.array_join("ns.t", ""), F.coalesce(F.array_join("ls.t", ""), F.lit("")), F.lit("]\n")).alias("gml"))
+    # One shuffle of the nodes' values, in partitions that grow in number with the rows; texts are made after it.
+    rows = cut(tree.select("g", F.struct("node", "parent", "bag", "cover").alias("n")), "tree-nodes")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // packed.TASK_ROWS)
+    lists = rows.repartition(tasks, "g").groupBy("g").agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    label = lambda n: F.concat(F.lit("{"), F.array_join(n["cover"], ", "), F.lit("}{"), F.array_join(n["bag"], ", "), F.lit("}"))
+    nodes = F.transform("ns", lambda n: F.concat(F.lit("  node [\n    id "), n["node"], F.lit('\n    label "'), label(n), F.lit('"\n  ]\n')))
+    links = F.transform(F.filter("ns", lambda n: n["parent"].isNotNull()), lambda n: F.concat(F.lit("  edge [\n    source "), n["parent"], F.lit("\n    target "), n["node"], F.lit("\n  ]\n")))
+    return lists.select("g", F.concat(F.lit("graph [\n  directed 0\n"), F.array_join(nodes, ""), F.array_join(links, ""), F.lit("]\n")).alias("gml"))
 
 
 def tree_from_gml(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
