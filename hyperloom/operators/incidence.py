@@ -8,15 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Line items of a task, at most about that many.
+TASK_ROWS = 1 << 19
+
 CORPORA = {"hm": "1 + l_suppkey % 10", "hs": "l_suppkey", "hp": "l_partkey"}
 
 
 def corpus(spark: SparkSession, sf_dir: str, kind: str = "hm") -> DataFrame:
     """A hypergraph for each customer: orders are edges, and vertices come from their line items."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.expr(CORPORA[kind]).cast("long").alias("v"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    joined = items.distinct().join(orders, items["l_orderkey"] == orders["o_orderkey"])
-    return joined.select(F.col("o_custkey").cast("long").alias("g"), F.col("l_orderkey").cast("long").alias("e"), "v").distinct()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").distinct()
+    # Dealt by order in a number of parts that grows with the rows: distinct rows and the join need no other exchange, and adaptive execution does not join the parts to few large tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // TASK_ROWS)
+    items = items.repartition(tasks, "l_orderkey").distinct()
+    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    return joined.select(F.col("o_custkey").cast("long").alias("g"), F.col("l_orderkey").cast("long").alias("e"), "v")
 
 
 def edge_lists(inc: DataFrame) -> DataFrame:
