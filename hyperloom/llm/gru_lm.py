@@ -8,8 +8,8 @@ is left to unknown tokens. So every factor sums to one, and no token is without
 
 Everything is numpy inside tasks. Training is truncated backpropagation over windows of ``WINDOW`` steps with the state carried from window to window of a text. In each of a few
 rounds every partition trains from the same parameters on the texts of its own part, and the parameters are averaged by tokens in blocks, so that the driver gets one
-set of parameters, whatever the number of partitions. Word counts cover all training texts; recurrent training takes the fixed share ``SHARE`` of them (by hash), which grows with the
-table. Scoring carries the state over the windows of a whole text, many texts side by side in lanes.
+set of parameters, whatever the number of partitions. Word counts and recurrent training cover all training texts: each round takes its share of them (by hash), and every text falls to
+one round. Scoring carries the state over the windows of a whole text, many texts side by side in lanes.
 
 Broadcast are the parameters and at most ``KNOWN`` of the most frequent tokens of at most 64 bytes with their counts; the counts of all rarer tokens reach their texts by a join.
 
@@ -35,13 +35,12 @@ from hyperloom.llm.storage import fresh, materialize
 
 NEURAL, CLASS, ENDINGS, KNOWN = 2048, 64, 64, 1 << 16
 HIDDEN, WINDOW = 24, 32
-#: Sixteenths of the training texts, by hash, that each round trains on.
-ROUNDS = ((0,), (1,), (2,))
-SHARE = sum(map(len, ROUNDS)) / 16
-TRAIN_LANES, SCORE_LANES = 64, 256
+#: Sixteenths of the training texts, by hash, that each round trains on; together all of them.
+ROUNDS = (range(5), range(5, 10), range(10, 16))
+TRAIN_LANES, SCORE_LANES = 256, 256
 RATE = 0.08
 #: Tokens laid out in lanes at once.
-TRAIN_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 22
+TRAIN_TOKENS, SCORE_TOKENS = 1 << 20, 1 << 22
 #: Training cuts texts into pieces of so many tokens, the later ones from a fresh state, so that one long text does not fill few lanes; scoring does not.
 TRAIN_PIECE = 4096
 #: Different words that a task counts before it gives them out.
@@ -313,6 +312,8 @@ class Model:
     vocabulary: Vocabulary
     network: Network
     counts: DataFrame
+    #: Tokens that the network was trained on.
+    trained: int
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
@@ -369,12 +370,12 @@ _PARTS = "block int, salt int, seen long, values binary"
 
 
 def fit(docs: DataFrame, training: Column, text: str = "text", ident: str = "doc_id") -> Model:
-    """Counts over all rows of ``docs`` that ``training`` names, and the network trained on the share of them whose hash falls to a round."""
+    """Counts over all rows of ``docs`` that ``training`` names, and the network trained on all of them, round by round."""
     spark = docs.sparkSession
     chosen = docs.where(training).select(F.col(text).cast("binary").alias("text"), F.expr(f"pmod(xxhash64(`{ident}`, `{text}`), 16)").alias("bucket"))
     counts = materialize(token_counts(chosen.select("text")), "token-counts")
     vocabulary = _vocabulary(counts)
-    network = Network.start(vocabulary)
+    network, seen = Network.start(vocabulary), 0
     for buckets in ROUNDS if vocabulary.total else ():
         shared = spark.sparkContext.broadcast((vocabulary, network.vector))
 
@@ -398,10 +399,11 @@ def fit(docs: DataFrame, training: Column, text: str = "text", ident: str = "doc
                 })
 
         trained = chosen.where(F.col("bucket").isin(*buckets)).select("text").mapInArrow(train, _PARTS)
-        rows = _averaged(trained, (["block", "salt"], ["block"])).select("block", "values").collect()
+        rows = _averaged(trained, (["block", "salt"], ["block"])).select("block", "seen", "values").collect()
         if rows:
+            seen += rows[0]["seen"]
             network = Network(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
-    return Model(vocabulary, network, counts)
+    return Model(vocabulary, network, counts, seen)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str, str, str, str]:

@@ -95,6 +95,13 @@ def test_scores_equal_plain(spark, monkeypatch):
             assert r[score] == pytest.approx(plain_score(model, counts, texts[r["doc_id"]]), rel=1e-4, abs=1e-3)
 
 
+def test_every_training_text_trains_the_network(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for frame, training in ((docs, F.col("doc_id") % 3 != 0), (odd.select("doc_id", "text"), F.lit(True))):
+        model = gru_lm.fit(frame, training)
+        assert model.trained == model.vocabulary.total > 0
+
+
 def vocabulary():
     some = [f"w{k}".encode() for k in range(3000)]
     counts = np.arange(3000, 0, -1)
