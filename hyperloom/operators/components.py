@@ -56,6 +56,12 @@ def separators(inc: DataFrame, combos: DataFrame) -> DataFrame:
     return combos.join(inc, ["g", "e"]).select("g", "s", "v").distinct()
 
 
+def separator_sizes(inc: DataFrame, most: int = 2) -> DataFrame:
+    """(g, s, vertices): how many vertices each set of at most ``most`` edges has; the sets of a small graph are made in its row, so that no candidate is exchanged."""
+    by_joins = lambda rows: separators(rows, edge_combinations(rows, most)).groupBy("g", "s").agg(F.count("*").alias("vertices"))
+    return packed.over_graphs(inc, packed.union_rows(most), "s string, vertices long", by_joins, min(packed.MOST, packed.MOST_TRIED))
+
+
 def balanced(inc: DataFrame, combos: DataFrame, factor: int = 2) -> DataFrame:
     """(g, s, size, largest) of combinations that leave no component above floor(edges * (factor - 1) / factor)."""
     names = cut(combos.groupBy("g", "s").agg(F.count("*").alias("size")), "names")

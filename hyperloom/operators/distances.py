@@ -75,19 +75,27 @@ def distances_without(steps: DataFrame, dist: DataFrame, needs: DataFrame) -> Da
 
 
 def distance_change(inc: DataFrame) -> DataFrame:
-    """(g, e, stretched, lost): by removing edge e, how much distances grow in sum, and how many pairs come apart.
+    """(g, e, stretched, lost): by removing edge e, how much distances grow in sum, and how many pairs come apart. Small graphs are searched as rows (``packed``), others by joins."""
+    return _changes(inc).drop("rank")
 
-    No graph is copied: only the pairs that need an edge (``needed_edges``) are searched again without it.
-    """
-    steps, dist = cut(primal_steps(inc), "steps"), primal_distances(inc)
+
+def max_separator_order(inc: DataFrame) -> DataFrame:
+    """(g, e, rank): edges whose removal disconnects most pairs, then stretches distances most."""
+    return _changes(inc).select("g", "e", "rank")
+
+
+def _changes(inc: DataFrame) -> DataFrame:
+    """(g, e, stretched, lost, rank)."""
+    return packed.over_graphs(inc, packed.change_rows, "e long, stretched long, lost long, rank int", _changes_by_joins, min(packed.MOST, packed.MOST_TRIED))
+
+
+def _changes_by_joins(inc: DataFrame) -> DataFrame:
+    """No graph is copied: only the pairs that need an edge (``needed_edges``) are searched again without it."""
+    steps, dist = cut(primal_steps(inc), "steps"), cut(primal_distances(inc), "distances")
     after = distances_without(steps, dist, needed_edges(steps, dist)).join(dist, ["g", "a", "b"])
     sums = after.groupBy("g", "e").agg(F.sum(F.coalesce(F.col("new") - F.col("dist"), F.lit(0))).alias("stretched"), F.sum(F.when(F.col("new").isNull(), 1).otherwise(0)).alias("lost"))
     every = inc.select("g", "e").distinct().join(sums, ["g", "e"], "left")
     # Graphs without a pair of adjacent vertices have no distances to change and no rows.
-    return every.join(dist.select("g").distinct(), "g", "left_semi").select("g", "e", F.coalesce("stretched", F.lit(0)).alias("stretched"), F.coalesce("lost", F.lit(0)).alias("lost"))
-
-
-def max_separator_order(inc: DataFrame) -> DataFrame:
-    """(g, e, rank): edges whose removal disconnects most pairs, then stretches distances most."""
+    changes = every.join(dist.select("g").distinct(), "g", "left_semi").select("g", "e", F.coalesce("stretched", F.lit(0)).alias("stretched"), F.coalesce("lost", F.lit(0)).alias("lost"))
     order = Window.partitionBy("g").orderBy(F.desc("lost"), F.desc("stretched"), "e")
-    return distance_change(inc).select("g", "e", F.row_number().over(order).alias("rank"))
+    return changes.withColumn("rank", F.row_number().over(order))

@@ -204,8 +204,7 @@ _COMBOS = "ed AS (SELECT DISTINCT g, e FROM inc), cand AS (SELECT g, e::VARCHAR
 
 @query(f"{_HM}, {_COMBOS} SELECT g, s, count(*) AS vertices FROM (SELECT DISTINCT c.g, c.s, i.v FROM cand c JOIN inc i ON i.g = c.g AND i.e IN (c.e1, c.e2)) GROUP BY ALL")
 def separator_candidates(spark, sf_dir):
-    h = inc.corpus(spark, sf_dir)
-    return comp.separators(h, comp.edge_combinations(h, 2)).groupBy("g", "s").agg(F.count("*").alias("vertices"))
+    return comp.separator_sizes(inc.corpus(spark, sf_dir))
 
 
 _BALANCED = (
@@ -413,12 +412,12 @@ _REMOVED = (
 
 @query(f"{_REDUCED}, {_REMOVED} SELECT * FROM chg")
 def distance_change(spark, sf_dir):
-    return distances.distance_change(cut(_reduced(spark, sf_dir), "residue"))
+    return distances.distance_change(_reduced(spark, sf_dir))
 
 
 @query(f"{_REDUCED}, {_REMOVED} SELECT g, e, row_number() OVER (PARTITION BY g ORDER BY lost DESC, stretched DESC, e)::INT AS rank FROM chg")
 def max_separator_order(spark, sf_dir):
-    return distances.max_separator_order(cut(_reduced(spark, sf_dir), "residue"))
+    return distances.max_separator_order(_reduced(spark, sf_dir))
 
 
 @query(f"{_HS}, {_HINGE} SELECT * FROM hi")
